@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import exact_dedup, mixing, packing
+from tideline.llm import exact_dedup, mixing, ngram_join, packing
 from tideline.llm.common import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -23,12 +27,20 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+        with recursive w as (select cast(doc_id as bigint) doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+        s as (select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) end s from w),
+        e as (select doc_id, len(s) n, unnest(s) g from s),
+        p as (select a.doc_id a, b.doc_id b from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        r as (select a, b from p union select r.a, p.b from r join p on r.b = p.a)
+        select s.doc_id, cast(len(s.s) as bigint) n_shingles, least(s.doc_id, coalesce(m.b, s.doc_id)) component_id from s left join (select a, min(b) b from r group by a) m on s.doc_id = m.a""",
     "op3_exact_dedup": r"""
         with d as (select cast(doc_id as bigint) doc_id, length(coalesce(text, '')) n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) h from documents),
         k as (select h, count(*) group_size, arg_min(doc_id, (-n, doc_id)) keep_id from d group by h)
