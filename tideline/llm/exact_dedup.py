@@ -24,6 +24,7 @@ from tideline.llm.common import normalised, removed, sized, text_of, work_dir, w
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition's empty logs take megabytes ahead
 }
 
 
