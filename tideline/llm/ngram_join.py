@@ -320,3 +320,10 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     empty = documents.where("cls is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     known_id = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return named.unionByName(empty).select(known_id("doc_id"), F.col("n").alias("n_shingles"), known_id("component_id"))
+
+
+def representatives(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of docs that are the least of their component, with the columns of docs; rows without an id stay."""
+    at = work_dir(docs.sparkSession)
+    others = join(docs, size, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(sized(written(others, f"{at}/others")), "doc_id", "left_anti")
