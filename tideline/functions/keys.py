@@ -37,7 +37,7 @@ def shortest_general(number: Column) -> Column:
         .when(exponent >= 0, F.concat(F.substr(digits, F.lit(1), exponent + 1), F.lit("."), F.substr(digits, exponent + 2)))
         .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
     )
-    sign = F.when(text == "0.0", F.when((F.lit(1.0) / number) < 0, "-").otherwise("")).when(number < 0, "-").otherwise("")
+    sign = F.when(number.cast("string").startswith("-"), "-").otherwise("")  # a zero may have one too
     body = F.when(F.isnan(number), "NaN").when(text == "Infinity", "Inf").when(text == "0.0", "0").when((exponent < -4) | (exponent >= 6), scientific).otherwise(plain)
     return F.when(text == "Infinity", F.concat(F.when(number < 0, "-").otherwise("+"), F.lit("Inf"))).otherwise(F.concat(F.when(F.isnan(number), "").otherwise(sign), body))
 

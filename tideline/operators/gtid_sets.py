@@ -53,4 +53,4 @@ def not_executed(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     sets = merged(ranges).groupBy("uuid").agg(F.collect_list(F.struct("first", "last")).alias("_done"))
     joined = rows.join(F.broadcast(sets) if sets.limit(10_001).count() <= 10_000 else sets, "uuid", "left")
     done = F.exists(F.coalesce("_done", F.array().cast("array<struct<first:bigint,last:bigint>>")), lambda i: F.col("gno").between(i["first"], i["last"]))
-    return joined.where(~done).drop("_done")
+    return joined.where(~F.coalesce(done, F.lit(False))).drop("_done")

@@ -8,22 +8,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import envelope, gtids, keys, tables
-from tideline.operators import ordering, rows, schemas
+from tideline.operators import gtid_sets, ordering, rows, schemas
 
 CONNECTOR = "mysql"
 
 
-def change_events(log: DataFrame, versions: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), key_overrides: Mapping[str, Sequence[str]] | None = None, queues: int = 8) -> DataFrame:
+def change_events(log: DataFrame, versions: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), key_overrides: Mapping[str, Sequence[str]] | None = None, queues: int = 8, executed: DataFrame | None = None, after: tuple[str, int] | None = None) -> DataFrame:
     """Change events of a raw log: id, op, before, after (JSON texts), source, occurred_at, key, position, seq_no, queue, file.
 
-    The order within transactions is taken before the filter; all else after it. Rows move once, by file.
+    The order within transactions is taken before the filter; all else after it. Rows move once, by file. With
+    `executed` (intervals of GTIDs), or `after` (a file and position), what lies inside, or before, is left out. position.gtid_set
+    is the prefix up to the last commit before the row, as it is for a server whose numbers have no gaps.
     """
     fqtn = tables.fqtn()
     wanted = tables.captured(fqtn, include, exclude)
     images = rows.row_images(ordering.with_transactions(log))
     images = ordering.tx_order(images, transaction=("file", "tx_no"), order=("log_seq", "row_index")).where(wanted)
-    images = images.withColumn("place", F.struct("log_seq", "row_index"))
     counted = rows.row_images(log.select("log_seq", "file", "kind", "db", "table", "rows")).where(wanted)
+    if executed is not None or after is not None:
+        known = images
+        if executed is not None:
+            parts = F.col("gtid")
+            known = known.withColumn("uuid", F.regexp_extract(parts, "^(.*):[0-9]+$", 1)).drop("gno").withColumn("gno", F.regexp_extract(parts, ":([0-9]+)$", 1).try_cast("bigint"))
+            known = gtid_sets.not_executed(known, executed).drop("uuid")
+        if after is not None:
+            known = known.where((F.col("file") > after[0]) | ((F.col("file") == after[0]) & (F.col("pos") > after[1])))
+        images, counted = known, known
+    images = images.withColumn("place", F.struct("log_seq", "row_index"))
     images = ordering.ordinal(images, "seq_no", "place", counted=counted)
     values = rows.current_image(F.col("op"), F.col("before"), F.col("after"))
     images = schemas.asof(images.withColumn("current", values), versions, F.size("current"))
@@ -35,7 +46,7 @@ def change_events(log: DataFrame, versions: DataFrame, include: Sequence[str] =
         F.lit(CONNECTOR).alias("connector"), "server_id", "db", "table", "gtid", "file", "pos", "tx_order",
     )
     uuid = F.regexp_extract("gtid", "^(.*):[0-9]+$", 1)
-    position = F.struct(gtids_prefix(uuid).alias("gtid_set"), F.col("committed_file").alias("file"), F.col("committed_pos").alias("offset"), "seq_no")
+    position = F.struct(gtid_sets.prefix_text(uuid, F.col("committed_gno")).alias("gtid_set"), F.col("committed_file").alias("file"), F.col("committed_pos").alias("offset"), "seq_no")
     key = keys.resolve(fqtn, key_for(F.col("schema.pk")), overrides)
     found = images.select(
         gtids.event_id(F.col("gtid"), F.col("tx_order"), F.col("file"), F.col("pos"), F.col("row_index")).alias("id"), "op",
@@ -45,12 +56,6 @@ def change_events(log: DataFrame, versions: DataFrame, include: Sequence[str] =
     return found.withColumn("queue", keys.queue_of(F.col("key"), queues))
 
 
-def gtids_prefix(uuid):
-    from tideline.operators.gtid_sets import prefix_text
-
-    return prefix_text(uuid, F.col("committed_gno"))
-
-
 def payloads(events: DataFrame) -> DataFrame:
     """events with payload: the envelope."""
     text = envelope.envelope(F.col("id"), F.col("op"), F.col("before"), F.col("after"), envelope.source_object(), F.col("occurred_at"))
