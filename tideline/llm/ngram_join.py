@@ -31,7 +31,7 @@ of a component unless all its ids are null; an empty table gives an empty result
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -197,6 +197,22 @@ def forest(edges: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(x, r) for x in list(parent) if (r := root(x)) != x]
 
 
+def forest(edges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A spanning forest of the edges: each node but the roots with its root."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return [(x, r) for x in list(parent) if (r := root(x)) != x]
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate edges between the classes on the lists of one partition, as a spanning forest."""
     found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
