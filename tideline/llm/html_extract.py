@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_PAGES = 400
+PAGE_WEIGHT = 20  # blocks of either label that a page counts for at most in training, however many it has
 NAMED = 12.0  # cost against the label that an enclosing element names
 SIBLINGS, NEIGHBOURS = 2.0, 1.0
 
@@ -97,7 +98,7 @@ def _named(tag: str, attributes: str, inside: int, seen_content: bool, in_articl
         return _BOILERPLATE
     if bad & {"comment", "comments", "sidebar", "related"} and "main" not in names:
         return _BOILERPLATE
-    return _CONTENT if good and inside == _NONE and good & {"article", "entry", "post", "story"} else inside
+    return _CONTENT if good and inside == _NONE and good & {"article", "content", "entry", "main", "post", "story"} else inside
 
 
 class Block:
@@ -329,10 +330,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((len(priors()), 2), np.int64)
     for batch in batches:
         for page in batch.column(0).to_pylist():
-            found = blocks(page or "")
+            found, own = blocks(page or ""), np.zeros_like(counts)
             for k, block in enumerate(found):
                 if block.named:
-                    counts[features(block, k, len(found)), int(block.named != _CONTENT)] += 1
+                    own[features(block, k, len(found)), int(block.named != _CONTENT)] += 1
+            each = np.maximum(PAGE_WEIGHT, own[: len(PRIORS[0])].sum(axis=0))  # every block has one value of the first feature
+            counts += own * 1000 * PAGE_WEIGHT // each
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts)), pa.int32()), pa.array(counts[:, 0].copy()), pa.array(counts[:, 1].copy())], names=["feature", "content", "boilerplate"])
 
 
@@ -344,7 +347,7 @@ def train(pages: DataFrame, most: int = TRAIN_PAGES) -> np.ndarray:
     sums = sample.mapInArrow(_counted, "feature int, content long, boilerplate long").groupBy("feature").agg(F.sum("content"), F.sum("boilerplate")).collect()
     counts = priors()
     for feature, *two in sums:
-        counts[feature] += two
+        counts[feature] += np.array(two) / 1000
     return log_odds(counts)
 
 
