@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,12 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Frees the shuffle files of stages whose results are written: Spark deletes them once the driver has dropped its last reference."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """small with a broadcast hint if a count shows that it has at most `limit` rows, else as it is.
 

@@ -1,51 +1,94 @@
-"""Connected components of a graph given by its edges, by alternating large and small stars.
+"""Connected components of a graph given by its edges.
 
-A large star links each larger neighbour of a node to the least neighbour, a small star each smaller one;
-both keep the components, and their alternation ends in one star a component, after rounds that grow with
-the logarithm of the longest path. Every round is written to the shared folder; nothing is collected.
-A node with very many neighbours is aggregated map-side, and its rows meet the one row of its least
+Tasks first replace the edges of a partition by a spanning forest. When all edges that are left fit in one bounded
+task (a count shows it), that task's forest is the answer. Else a large star links each larger neighbour of a node to
+the least neighbour and a small star each smaller one; both keep the components, and shorten all paths to their least
+node, so that rounds grow with the logarithm of the longest path. Every round is written to the shared folder; nothing
+is collected. A node with very many neighbours is aggregated map-side, and its rows meet the one row of its least
 neighbour in a broadcast of checked size or in a join whose partitions Spark can split.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import removed, sized, work_dir, written
 
-_FEW = 500_000
+#: Edges that one task may hold.
+MOST_EDGES = 500_000
+
+
+def forest(edges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A spanning forest of the edges: each node but the roots with its root, the least node it reaches."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return [(x, r) for x in list(parent) if (r := root(x)) != x]
 
 
-def _written(df: DataFrame, path: str, few: bool) -> DataFrame:
-    return written(df.coalesce(1) if few else df, path)
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as spanning forests, one of every MOST_EDGES edges."""
+
+    def rows(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+        u, v = zip(*edges, strict=True) if edges else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    held: list[tuple[int, int]] = []
+    for batch in batches:
+        held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        if len(held) > MOST_EDGES and len(held := forest(held)) > MOST_EDGES:
+            yield rows(held)
+            held = []
+    yield rows(forest(held))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (u, v) between different nodes; root is the least node of its component."""
     spark, at = edges.sparkSession, work_dir(edges.sparkSession)
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{at}/0")
-    state, k = _state(now), 0
+    now, k = written(edges.where("u <> v").select("u", "v").mapInArrow(_forests, "u long, v long"), f"{at}/0"), 0
     while True:
-        few, k = state[0] <= _FEW, k + 1
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{at}/{k}-large", few)
-        large = both.where("v > u").join(sized(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = _written(large, f"{at}/{k}-edges", few)
-        least = _written(large.groupBy("u").agg(F.min("v").alias("m")), f"{at}/{k}-small", few)
-        moved = large.join(sized(least), "u")
-        small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = _written(small, f"{at}/{k}", few)
-        for gone in (f"{k}-large", f"{k}-edges", f"{k}-small", str(k - 1)):
-            removed(spark, f"{at}/{gone}")
-        if (new := _state(after)) == state:
+        k += 1
+        if now.count() <= MOST_EDGES:
+            after = written(now.coalesce(1).mapInArrow(_forests, "u long, v long"), f"{at}/{k}")
+            removed(spark, f"{at}/{k - 1}")
+            break
+        before = _state(now)
+        after = _stars(now, f"{at}/{k}")
+        removed(spark, f"{at}/{k - 1}")
+        if _state(after) == before:
             break
-        now, state = after, new
+        now = after
     # now every edge leads from a node to its root
     roots = after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _stars(now: DataFrame, path: str) -> DataFrame:
+    both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{path}-large")
+    large = both.where("v > u").join(sized(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    large = written(large, f"{path}-edges")
+    least = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{path}-small")
+    moved = large.join(sized(least), "u")
+    small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    after = written(small, path)
+    for gone in ("large", "edges", "small"):
+        removed(now.sparkSession, f"{path}-{gone}")
+    return after
+
+
 def _state(edges: DataFrame) -> tuple[int, str]:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return row[0], str(row[1])

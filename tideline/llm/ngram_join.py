@@ -10,9 +10,10 @@ Heavy sets scan inverted lists. The lists are not kept by single shingle, for a
 share would make lists whose pairs grow with the square, but by block: the hash space is cut into p ranges
 and a set is listed under the content of each. Linked sets differ in at most k = floor((100 - T) (n + m) /
 (100 + T)) shingles, so of p > k blocks at least p - k are equal, and a scan of its lists brings a set together
-with all linked ones. Sets with p - k or more empty blocks could share empty blocks only; any two of these
-both go on to lists under another hash, at last to lists of empty blocks. p depends on a size class, and a
-set near the end of its class is listed in the next one too.
+with all linked ones. Blocks of WEAK shingles or fewer are not listed, for one frequent shingle would bring unlike
+sets together. Sets with p - k or more of these could share such blocks only; any two of them both go on to lists
+under another hash, at last to lists of the weak blocks. p depends on a size class, and a set near the end of its
+class is listed in the next one too.
 
 The boundary is the size up to which subsets cost less than lists (BOUNDARY, from the two cost formulas).
 
@@ -20,6 +21,8 @@ Sets with equal content are one class from the start (a hot group of copies is o
 grouped into candidate components; each is cut into cells of bounded size, bands of size against
 neighbouring bands, slots against slots, and a cell counts all intersections of its sets exactly and returns a
 spanning forest of the links. No pairs of a group are emitted. Components of these links are the result.
+Candidate components too large for one cell are first taken apart: their sets are listed again under other hashes,
+where linked sets meet again and sets that met by chance seldom do.
 
 Shingles and classes are 64-bit hashes: among 1e8 different sets the chance that any two share a class is
 3e-4; among 5e10, some 70 pairs would.
@@ -42,11 +45,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import removed, sized, text_of, work_dir, written
-from tideline.llm.components import components
+from tideline.llm.common import released, removed, sized, text_of, work_dir, written
+from tideline.llm.components import components, forest
 
 MOST_MEMBERS, MOST_SHINGLES = 512, 500_000
 NO_ID = -(2**63)
+WEAK = 1
+ROUNDS = 2
 _HASHES = 4
 _CLASS_STEP = 1.4
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -107,7 +112,7 @@ class Lists:
     def blocks(self, end: int) -> tuple[int, int]:
         """k and p for sets of fewer than `end` shingles."""
         k = (100 - self.percent) * 2 * (end - 1) // (100 + self.percent)
-        return k, k + 3 + -(-k // 10)
+        return k, k + 3 + -(-k // 4)
 
     def _boundary(self) -> int:
         """The largest size up to which listing subsets is cheaper; an entry of a block list costs twice, for it must be checked."""
@@ -116,7 +121,7 @@ class Lists:
             n += 1
         return n
 
-    def of(self, shingles: np.ndarray) -> np.ndarray:
+    def of(self, shingles: np.ndarray, seed: int = 0) -> np.ndarray:
         n = len(shingles)
         if not n:
             return np.empty(0, np.uint64)
@@ -125,9 +130,9 @@ class Lists:
             found.append(self._subsets(shingles))
         level = int(np.searchsorted(self._ends, n, "right")) - 1
         if level >= 0:
-            found += self._blocks(shingles, level)
+            found += self._blocks(shingles, level, seed)
         if 100 * n >= self.percent * self.starts[level + 1]:
-            found += self._blocks(shingles, level + 1)
+            found += self._blocks(shingles, level + 1, seed)
         return np.concatenate(found)
 
     def _subsets(self, shingles: np.ndarray) -> np.ndarray:
@@ -140,61 +145,54 @@ class Lists:
             sums.append(_mix((whole - less) ^ size))
         return np.concatenate(sums)
 
-    def _blocks(self, shingles: np.ndarray, level: int) -> list[np.ndarray]:
+    def _blocks(self, shingles: np.ndarray, level: int, seed: int) -> list[np.ndarray]:
         k, p = self.blocks(self.starts[level + 1])
         found = []
-        for turn in range(_HASHES):
+        for turn in range(seed * _HASHES, (seed + 1) * _HASHES):
             x = shingles if not turn else np.sort(_mix(shingles ^ np.uint64(turn)))
             block = ((x >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-            content = np.add.reduceat(_mix(x ^ _M2), first)
+            strong = np.diff(np.append(first, len(x))) > WEAK
             name = block[first] + np.uint64((level << 32) + (turn << 48) + (1 << 56))
-            found.append(_mix(content + _mix(name)))
-            if p - len(first) < p - k:
+            entries = _mix(np.add.reduceat(_mix(x ^ _M2), first) + _mix(name))
+            found.append(entries[strong])
+            if p - np.count_nonzero(strong) < p - k:
                 return found
         empty = np.setdiff1d(np.arange(p, dtype=np.uint64), block)
-        found.append(_mix(empty + np.uint64((level << 32) + (2 << 56))))
-        return found
+        return [*found, entries[~strong], _mix(empty + np.uint64((level << 32) + (2 << 56)))]
 
 
-def _bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+def _named(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, cls, n of each document."""
+    for batch in batches:
+        sets = (shingle_set(batch.column(1)[k].as_buffer().to_pybytes(), size) for k in range(batch.num_rows))
+        cls, n = zip(*((class_of(s) if len(s) else None, len(s)) for s in sets), strict=True) if batch.num_rows else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "cls", "n"])
 
 
 def _listed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, cls, n, lists of each document; of a class that came before in the task, lists are null."""
-    lists, seen = Lists(percent), set()
-    for whole in batches:
-        for start in range(0, whole.num_rows, 1000):
-            batch = whole.slice(start, 1000)
-            cls, n, flat, ends = [], [], [], [0]
-            for text in _bytes(batch.column(1)):
-                shingles = shingle_set(text, size)
-                n.append(len(shingles))
-                cls.append(class_of(shingles) if len(shingles) else None)
-                new = lists.of(shingles) if cls[-1] is not None and cls[-1] not in seen else np.empty(0, np.uint64)
-                if len(seen) < 2_000_000:
-                    seen.add(cls[-1])
-                flat.append(new)
-                ends.append(ends[-1] + len(new))
-            values = pa.array(np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["doc_id", "cls", "n", "lists"])
-
-
-def forest(edges: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A spanning forest of the edges: each node but the roots with its root."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
-
-    for a, b in edges:
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return [(x, r) for x in list(parent) if (r := root(x)) != x]
+    """(list, cls) for each list that a class stands under; what came before in the task is left out."""
+    lists, seen, found, names, n = Lists(percent), set(), [], [], 0
+
+    def rows() -> pa.RecordBatch:
+        cls = np.repeat(np.array(names, np.int64), [len(x) for x in found])
+        entries = np.concatenate(found) if found else np.empty(0, np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(entries.view(np.int64)), pa.array(cls)], names=["list", "cls"])
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            shingles = shingle_set(batch.column(0)[k].as_buffer().to_pybytes(), size)
+            if not len(shingles) or (cls := class_of(shingles)) in seen:
+                continue
+            if len(seen) < 2_000_000:
+                seen.add(cls)
+            found.append(lists.of(shingles))
+            names.append(cls)
+            n += len(found[-1])
+            if n >= 200_000:
+                yield rows()
+                found, names, n = [], [], 0
+    yield rows()
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,12 +255,52 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     for whole in batches:
         for start in range(0, whole.num_rows, 500):
             batch = whole.slice(start, 500)
-            sets = [shingle_set(t, size) for t in _bytes(batch.column(0))]
+            sets = [shingle_set(batch.column(0)[k].as_buffer().to_pybytes(), size) for k in range(batch.num_rows)]
             right = [class_of(s) == c for s, c in zip(sets, batch.column(1).to_pylist(), strict=True)]
             out = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "comp", "cells", "shingles"])
             yield out.filter(pa.array(right, pa.bool_()))
 
 
+def _relisted(batches: Iterator[pa.RecordBatch], percent: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """(list, cls) of stored sets, under hashes of this seed; a list belongs to one component."""
+    lists = Lists(percent)
+    for batch in batches:
+        found = []
+        for comp, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            found.append(_mix(lists.of(np.frombuffer(data, np.uint64), seed) ^ np.uint64(comp & (2**64 - 1))))
+        cls = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+        yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(found) if found else np.empty(0, np.uint64)).view(np.int64)), pa.array(cls, pa.int64())], names=["list", "cls"])
+
+
+def _large(members: DataFrame) -> DataFrame:
+    """The components that do not fit in a cell."""
+    stats = members.groupBy("comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    return stats.where((F.col("members") > MOST_MEMBERS) | (F.col("shingles") > MOST_SHINGLES)).select("comp")
+
+
+def _refined(members: DataFrame, texts: DataFrame, size: int, percent: int, at: str) -> DataFrame:
+    """members, those of large components in finer components, or gone if they have no partner there."""
+    large = written(_large(members), f"{at}/large-0")
+    if large.isEmpty():
+        return members
+    stored = None
+    for seed in range(1, ROUNDS + 1):
+        inside = written(members.join(sized(large), "comp", "left_semi"), f"{at}/inside-{seed}")
+        if stored is None:
+            wanted = texts.join(sized(inside.select("doc", "cls", "comp")), F.col("doc_id") == F.col("doc")).select("text", "cls", "comp", F.array().cast("array<long>").alias("cells"))
+            stored = written(wanted.mapInArrow(lambda b: _sets(b, size), "cls long, comp long, cells array<long>, shingles binary").select("cls", "shingles"), f"{at}/stored")
+        rows = stored.join(sized(inside.select("cls", "comp")), "cls").select("cls", "comp", "shingles")
+        met = rows.mapInArrow(lambda b, seed=seed: _relisted(b, percent, seed), "list long, cls long").repartition("list").mapInArrow(_met, "u long, v long")
+        finer = components(written(met, f"{at}/met-{seed}")).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
+        again = inside.drop("comp").join(sized(written(finer, f"{at}/finer-{seed}")), "cls").select(*members.columns)
+        members = written(members.join(sized(large), "comp", "left_anti").select(*members.columns).unionByName(again), f"{at}/members-{seed}")
+        large = written(_large(members), f"{at}/large-{seed}")
+        if large.isEmpty():
+            break
+    removed(members.sparkSession, f"{at}/stored")
+    return members
+
+
 def _cells(members: DataFrame, percent: int, at: str) -> DataFrame:
     """members (cls, comp, n, doc) with the cells each belongs to. Two members of a component that can link share a cell."""
     stats = written(members.groupBy("comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")), f"{at}/stats")
@@ -293,23 +331,25 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (the least doc_id that links reach, its own included)."""
     spark, at = docs.sparkSession, work_dir(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
-    kind = "doc_id long, cls long, n long, lists array<long>"
-    sets = written(texts.mapInArrow(lambda b: _listed(b, size, percent), kind), f"{at}/sets")
-    entries = sets.select(F.explode("lists").alias("list"), "cls")
-    met = entries.repartition("list").mapInArrow(_met, "u long, v long")
-    coarse = written(components(written(met, f"{at}/met")), f"{at}/coarse")
-    documents = written(sets.select("doc_id", "cls", "n"), f"{at}/documents")
-    removed(spark, f"{at}/sets")
+    documents = written(texts.mapInArrow(lambda b: _named(b, size), "doc_id long, cls long, n long"), f"{at}/documents")
+    entries = texts.select("text").mapInArrow(lambda b: _listed(b, size, percent), "list long, cls long")
+    met = written(entries.repartition("list").mapInArrow(_met, "u long, v long"), f"{at}/met")
+    del entries
+    released(spark)
+    coarse = written(components(met), f"{at}/coarse")
     # the least known id of a class; NO_ID where there is none
     least = F.coalesce(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))), F.lit(NO_ID))
     classes = written(documents.where("cls is not null").groupBy("cls").agg(least.alias("doc"), F.max("n").alias("n")), f"{at}/classes")
     members = written(classes.join(sized(coarse.select(F.col("node").alias("cls"), F.col("root").alias("comp"))), "cls"), f"{at}/members")
+    members = _refined(members, texts, size, percent, at)
     dealt = written(_cells(members, percent, at), f"{at}/dealt")
     wanted = texts.join(sized(dealt), texts.doc_id == dealt.doc).select("text", "cls", "comp", "cells")
     found = wanted.mapInArrow(lambda b: _sets(b, size), "cls long, comp long, cells array<long>, shingles binary")
     cells = found.select("cls", "comp", "shingles", F.explode("cells").alias("cell"))
     linked = cells.groupBy("cell").applyInPandas(lambda c: _checked(c, percent), "u long, v long")
-    exact = written(components(written(linked, f"{at}/links")), f"{at}/exact")
+    linked = written(linked, f"{at}/links")
+    released(spark)
+    exact = written(components(linked), f"{at}/exact")
     known = classes.join(sized(exact.select(F.col("node").alias("cls"), "root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     known = written(known.select("cls", "doc", "root"), f"{at}/known")
     linked_roots = exact.select("root").distinct()

@@ -32,7 +32,7 @@ SCHEMA = "doc_id long, piece long, size long, source string, cluster long, bin_i
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[int]:
     """The bin of each item, in the given order. sources and clusters are bitmaps with a bit each, or 0 for no conflict."""
     rooms: list[int] = []  # what is left, ascending, each value once
-    bins: dict[int, list[int]] = defaultdict(list)  # bins by what is left
+    bins: dict[int, list[int]] = defaultdict(list)  # bins by what is left, oldest first
     has_source: list[int] = []
     has_cluster: list[int] = []
     placed = []
@@ -61,7 +61,7 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
         room -= size
         if room not in bins:
             insort(rooms, room)
-        bins[room].append(found)
+        insort(bins[room], found)
         placed.append(found)
     return placed
 
