@@ -91,12 +91,17 @@ def resolve(fqtn: Column, own: Column, overrides: Mapping[str, Column]) -> Colum
 
 def fnv1a32(text: Column) -> Column:
     """FNV-1a, 32 bits, of the UTF-8 bytes."""
-    data = F.encode(text, "UTF-8")
-    n = F.octet_length(text)
-    byte = lambda i: F.conv(F.hex(F.substr(data, i, F.lit(1))), 16, 10).cast("long")
+    data, n = F.encode(text, "UTF-8"), F.octet_length(text)
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    step = lambda h, i: (h.bitwiseXOR(byte(i)) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.aggregate(places, F.lit(2166136261).cast("long"), step)
+
+    def over(byte) -> Column:
+        step = lambda h, i: (h.bitwiseXOR(byte(i)) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.aggregate(places, F.lit(2166136261).cast("long"), step)
+
+    # a character is a byte in the usual case, and its code is had without the detour over hex digits
+    by_character = over(lambda i: F.ascii(F.substr(text, i, F.lit(1))).cast("long"))
+    by_byte = over(lambda i: F.conv(F.hex(F.substr(data, i, F.lit(1))), 16, 10).cast("long"))
+    return F.when(F.length(text) == n, by_character).otherwise(by_byte)
 
 
 def queue_of(key: Column, queues: int) -> Column:
