@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import released, removed, sized, text_of, work_dir, written
-from tideline.llm.components import components, forest
+from tideline.llm.components import STARS, components, forest, stars
 
 MOST_MEMBERS, MOST_SHINGLES = 512, 500_000
 NO_ID = -(2**63)
@@ -196,7 +196,7 @@ def _listed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Itera
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate edges between the classes on the lists of one partition, as a spanning forest."""
+    """Candidate edges between the classes on the lists of one partition: a spanning forest, as stars."""
     found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
     edges: list[tuple[int, int]] = []
     if found:
@@ -208,8 +208,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.stack([cls[same], cls[same + 1]])
         pairs = np.unique(np.sort(pairs[:, pairs[0] != pairs[1]], axis=0), axis=1)
         edges = forest(zip(*pairs.tolist(), strict=True))
-    u, v = zip(*edges, strict=True) if edges else ((), ())
-    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    yield stars(edges)
 
 
 def links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -290,7 +289,7 @@ def _refined(members: DataFrame, texts: DataFrame, size: int, percent: int, at:
             wanted = texts.join(sized(inside.select("doc", "cls", "comp")), F.col("doc_id") == F.col("doc")).select("text", "cls", "comp", F.array().cast("array<long>").alias("cells"))
             stored = written(wanted.mapInArrow(lambda b: _sets(b, size), "cls long, comp long, cells array<long>, shingles binary").select("cls", "shingles"), f"{at}/stored")
         rows = stored.join(sized(inside.select("cls", "comp")), "cls").select("cls", "comp", "shingles")
-        met = rows.mapInArrow(lambda b, seed=seed: _relisted(b, percent, seed), "list long, cls long").repartition("list").mapInArrow(_met, "u long, v long")
+        met = rows.mapInArrow(lambda b, seed=seed: _relisted(b, percent, seed), "list long, cls long").repartition("list").mapInArrow(_met, STARS)
         finer = components(written(met, f"{at}/met-{seed}")).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
         again = inside.drop("comp").join(sized(written(finer, f"{at}/finer-{seed}")), "cls").select(*members.columns)
         members = written(members.join(sized(large), "comp", "left_anti").select(*members.columns).unionByName(again), f"{at}/members-{seed}")
@@ -333,7 +332,7 @@ def join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
     documents = written(texts.mapInArrow(lambda b: _named(b, size), "doc_id long, cls long, n long"), f"{at}/documents")
     entries = texts.select("text").mapInArrow(lambda b: _listed(b, size, percent), "list long, cls long")
-    met = written(entries.repartition("list").mapInArrow(_met, "u long, v long"), f"{at}/met")
+    met = written(entries.repartition("list").mapInArrow(_met, STARS), f"{at}/met")
     del entries
     released(spark)
     coarse = written(components(met), f"{at}/coarse")
