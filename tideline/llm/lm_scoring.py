@@ -113,7 +113,7 @@ def score(docs: DataFrame, labels: DataFrame, most: int = VOCABULARY) -> DataFra
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     marked = rows.join(sized(good), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counts = marked.mapInArrow(lambda b: _model_counts(b, number.value, size), "place int, n long, good long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    sums = counts.toPandas()  # at most VOCABULARY + 1 + BUCKETS rows
+    sums = counts.toArrow()  # at most VOCABULARY + 1 + BUCKETS rows, in Arrow's columns: as Python rows they would take most of a gigabyte
     models = []
     for column in ("good", "n"):
         full = np.zeros(size + BUCKETS, np.float32)
