@@ -106,6 +106,30 @@ def test_lm_without_target_or_rows(spark, world):
     assert lm_scoring.score(docs.limit(0), labels).count() == 0
 
 
+def test_lm_counts_every_word_exactly(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK", 30_000, raising=False)
+    kinds = 60_000
+    rows = [(k, " ".join(f"w{i}" for i in range(k, kinds, 100)) + f" w{k} the of") for k in range(100)] + [(100, f"w{kinds - 1} w0"), (101, "the of the of"), (None, "the of"), (102, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 102, 2)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in lm_scoring.score(docs, labels).collect()}
+    assert len(got) == len(rows)
+    for name, chosen in (("target_loss", [t for i, t in rows if i is not None and i % 2 == 0 and i < 102 and zlib.crc32(str(i).encode()) % 5]), ("background_loss", [t for _, t in rows])):
+        single, double = Counter(), Counter()
+        for t in chosen:
+            single.update(t.split())
+            double.update(zip(t.split(), t.split()[1:], strict=False))
+        total = sum(single.values())
+        for i, t in rows[:-1]:
+            w, loss = t.split(), 0.0
+            for k, x in enumerate(w):
+                p = (single[x] + 0.5) / (total + 0.5 * (kinds + 3))
+                if k and single[w[k - 1]]:
+                    p = 0.6 * double[w[k - 1], x] / single[w[k - 1]] + 0.4 * p
+                loss -= math.log(p)
+            assert abs(got[i][name] - loss / len(w)) < 1e-9
+
+
 def test_importance_keeps_the_good(world):
     rows, docs, labels = world
     got = {r.doc_id: r for r in importance.resample(docs, labels, 0.6).collect()}

@@ -32,9 +32,9 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tideline-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str, **options) -> DataFrame:
     """The rows of df, written as Parquet and read again: lineage ends here, lost executors cost nothing before it."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,10 +1,13 @@
 """Cross-entropy difference of two matched n-gram models.
 
 The target model is read from documents labelled as good, the background model from all documents. Both are
-word bigram models of one form, interpolated with unigrams, over one shared vocabulary: the VOCABULARY most frequent
-words of the whole corpus and one token for the others. Bigrams are counted over all documents in BUCKETS hashed
-counters a model, so that the models which tasks get have one size for any corpus; a bigram's count is bounded above by
-those of its words. Per document: the loss per token under either model, and target loss minus background loss (low: like the target).
+word bigram models of one form, interpolated with unigrams, over one shared vocabulary: all words of the corpus, and one
+more for words that it lacks. Words and bigrams are counted exactly, by 64-bit ids, in tables that grow with
+the corpus. Per document: the loss per token under either model, and target loss minus background loss (low: like the target).
+
+Documents are taken in chunks of about CHUNK words. A chunk sends its distinct words and bigrams with their counts to
+slots by id, a slot adds up what all chunks sent and replies in the order of each message, and a chunk is scored
+with the replies to it: no task holds more than a chunk or a slot, and no word is in more rows than there are chunks.
 
 Cases: a null or empty text, or one without words, has no tokens, and null losses; a null doc_id is scored and
 never target text; labels repeated for an id count once; with no target text at all, the target model is uniform over
@@ -13,124 +16,232 @@ the vocabulary; repeated rows are counted and scored each; an empty table gives
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import sized, text_of, work_dir, written
+from tideline.llm.common import released, sized, text_of, work_dir, written
 
-VOCABULARY = 50_000
-BUCKETS = 1 << 20
+CHUNK = 1_000_000
+SLOTS, SLOT_BYTES = 256, 8_000_000  # at least so many slots, and one for so many bytes of text
 BIGRAM_SHARE = 0.6  # weight of the bigram estimate where its context was seen
 SMOOTHING = 0.5
-_COUNTED_AT_ONCE = 300_000
+_SENT = "chunk long, slot int, sent binary"
+_BLOBS = {"parquet.block.size": 16 << 20, "parquet.enable.dictionary": False}  # a writer holds a block in memory
 
 
 def words(text: str) -> list[str]:
     return text.lower().split()
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+class _Ids(dict):
+    """64-bit ids of words."""
 
-    for batch in batches:
-        for k in range(batch.num_rows):
-            counts.update(words(batch.column(0)[k].as_py()))
-            if len(counts) >= _COUNTED_AT_ONCE:
-                yield rows()
-                counts.clear()
-    yield rows()
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
 
 
-def vocabulary(docs: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
-    """Number of each word, from 1; other words have number 0."""
-    counts = docs.select(text_of().alias("text")).mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r.word: k for k, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(most).collect(), 1)}
+_ids = _Ids()
 
 
-@dataclass
-class Counts:
-    """Counts of one model: of words by number, of bigrams by bucket."""
+def vocabulary(docs: DataFrame) -> dict[str, int]:
+    """Id of each word of a small table, for checks; score() keeps its words in tables."""
+    return {w: _ids[w] for r in docs.select(text_of().alias("text")).toLocalIterator() for w in words(r.text)}
 
-    single: np.ndarray
-    double: np.ndarray
 
-    def losses(self, ids: np.ndarray) -> float:
-        """Sum of -ln P of the words, each given the one before it."""
-        total, kinds = self.single.sum(), len(self.single)
-        alone = (self.single[ids] + SMOOTHING) / (total + SMOOTHING * kinds)
-        context = self.single[ids[:-1]]
-        pairs = np.minimum(np.minimum(self.double[bucket(ids)], context), self.single[ids[1:]])
-        p = alone.copy()
-        seen = context > 0
-        p[1:][seen] = BIGRAM_SHARE * pairs[seen] / context[seen] + (1 - BIGRAM_SHARE) * alone[1:][seen]
-        return float(-np.log(p).sum())
+def _pair_ids(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    x = first * np.uint64(0x9E3779B97F4A7C15) ^ second
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 def bucket(ids: np.ndarray) -> np.ndarray:
-    x = (ids[:-1].astype(np.uint64) << np.uint64(32)) + ids[1:].astype(np.uint64)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-    return (((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype(np.int64)
+    """Ids of the bigrams in a row of word ids."""
+    ids = ids.astype(np.uint64)
+    return _pair_ids(ids[:-1], ids[1:])
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays, compressed by planes of bytes: the upper bytes of most numbers here are 0."""
+    flat = b"".join(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays)
+    return np.array([len(flat), *(a.nbytes for a in arrays)], np.int64).tobytes() + pa.compress(flat, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    head = 8 * (len(kinds) + 1)
+    size, *lengths = np.frombuffer(data, np.int64, len(kinds) + 1).tolist()
+    flat = np.frombuffer(pa.decompress(data[head:], size, "zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for n, kind in zip(lengths, map(np.dtype, kinds), strict=True):
+        out.append(np.ascontiguousarray(flat[at : at + n].reshape(kind.itemsize, -1).T).view(kind).ravel())
+        at += n
+    return out
+
+
+class Chunk:
+    """Distinct words and bigrams of a run of documents, in an order that its words alone decide."""
+
+    def __init__(self, lengths: np.ndarray, places: np.ndarray, ids: np.ndarray, slots: int):
+        """Words of each document, place of each word in the distinct ids, number of slots. A slot is a range of ids."""
+        self.places = places
+        self.starts = np.cumsum(lengths)[lengths > 0] - lengths[lengths > 0]
+        self.follows = np.ones(len(places), bool)  # whether a word has one before it in its document
+        self.follows[self.starts] = False
+        after = np.flatnonzero(self.follows)
+        pairs, self.pair = np.unique(places[after - 1].astype(np.int64) * max(len(ids), 1) + places[after], return_inverse=True)
+        self.first, self.second = np.divmod(pairs, max(len(ids), 1))
+        self.ids = [ids, _pair_ids(ids[self.first], ids[self.second])]
+        self.order = [np.argsort(i) for i in self.ids]
+        first = np.array([-(-(k << 64) // slots) for k in range(1, slots)], np.uint64)
+        self.ends = [np.append(np.searchsorted(i[o], first), len(i)) for i, o in zip(self.ids, self.order, strict=True)]
+
+    def messages(self, good: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """For each slot: ids of words and of bigrams as differences, counts of all text and of target text (of the words that `good` marks)."""
+        counts = []
+        for k, (found, mask) in enumerate(((self.places, good), (self.pair, good[self.follows]))):
+            size = len(self.ids[k])
+            counts.append([np.bincount(x, minlength=size).astype(np.uint32)[self.order[k]] for x in (found, found[mask])])
+        ids = [i[o] for i, o in zip(self.ids, self.order, strict=True)]
+        at = [0, 0]
+        for slot, ends in enumerate(zip(*self.ends, strict=True)):
+            parts = [slice(a, b) for a, b in zip(at, ends, strict=True)]
+            at = ends
+            steps = (np.diff(i[p], prepend=np.uint64(0)) for i, p in zip(ids, parts, strict=True))
+            yield slot, _packed(*steps, *(np.concatenate([counts[0][k][parts[0]], counts[1][k][parts[1]]]) for k in (0, 1)))
+
+    def counts(self, replies: list[list[np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Counts of words and bigrams in the whole corpus and in its target text, from the replies of all slots in order."""
+        out = []
+        for k in (0, 1):
+            both = []
+            for kind in (0, 1):
+                sizes = np.diff(self.ends[kind], prepend=0)
+                words_there = np.diff(self.ends[0], prepend=0)
+                cut = [slice(0, w) if kind == 0 else slice(w, w + s) for w, s in zip(words_there, sizes, strict=True)]
+                full = np.zeros(len(self.ids[kind]), np.int64)
+                full[self.order[kind]] = np.concatenate([r[k][c] for r, c in zip(replies, cut, strict=True)])
+                both.append(full)
+            out.append(tuple(both))
+        return out
+
+    def losses(self, single: np.ndarray, double: np.ndarray, total: int, kinds: int) -> np.ndarray:
+        """Sums of -ln P of the words of each document that has any, each given the one before it."""
+        alone = (single + SMOOTHING) / (total + SMOOTHING * kinds)
+        p = alone[self.second]
+        seen = single[self.first] > 0
+        p[seen] = BIGRAM_SHARE * double[seen] / single[self.first[seen]] + (1 - BIGRAM_SHARE) * p[seen]
+        each = -np.log(alone)[self.places]
+        each[self.follows] = -np.log(p)[self.pair]
+        return np.add.reduceat(each, self.starts) if len(self.starts) else np.zeros(0)
+
+
+def _rows(chunks: list[int], slots: list[int], sent: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(slots, pa.int32()), pa.array(sent, pa.binary())], names=["chunk", "slot", "sent"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks, in slot -1, from rows of doc_id, text and whether it is target text."""
+    docs, good, found, size = [], [], [], 0
+
+    def rows() -> pa.RecordBatch:
+        lengths = np.array([len(f) for f in found], np.int64)
+        ids, places, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # small places for frequent words
+        rank = np.empty(len(ids), np.int32)
+        rank[order] = np.arange(len(ids), dtype=np.int32)
+        known = np.array([d is not None for d in docs], bool)
+        packed = _packed(np.array([d or 0 for d in docs], np.int64), known, np.array(good, bool), lengths, rank[places], ids[order])
+        return _rows([uuid.uuid4().int >> 65], [-1], [packed])
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            text = words(batch.column(1)[k].as_py())
+            docs.append(batch.column(0)[k].as_py())
+            good.append(batch.column(2)[k].as_py())
+            found.append(np.fromiter(map(_ids.__getitem__, text), np.uint64, len(text)))
+            size += len(text) + 1
+            if size >= CHUNK:
+                yield rows()
+                docs, good, found, size = [], [], [], 0
+    if docs:
+        yield rows()
 
 
-def numbered(text: str, numbers: dict[str, int]) -> np.ndarray:
-    found = words(text)
-    return np.fromiter((numbers.get(w, 0) for w in found), np.int64, len(found))
+def _opened(packed: bytes, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Chunk]:
+    """Of a chunk: ids of its documents, whether they have one, whether they are target text, their lengths, and the Chunk."""
+    ids, known, good, lengths, places, word_ids = _unpacked(packed, np.int64, bool, bool, np.int64, np.int32, np.uint64)
+    return ids, known, good, lengths, Chunk(lengths, places, word_ids, slots)
 
 
-def _model_counts(batches: Iterator[pa.RecordBatch], numbers: dict[str, int], size: int) -> Iterator[pa.RecordBatch]:
-    """Counts of a task by place (words first, then bigram buckets): over all its texts, and over target texts."""
-    every, target = np.zeros(size + BUCKETS, np.int64), np.zeros(size + BUCKETS, np.int64)
+def _messages(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = batch.column(1).to_pylist()
         for k in range(batch.num_rows):
-            ids = numbered(batch.column(0)[k].as_py(), numbers)
-            pairs = bucket(ids) + size
-            for counts in (every, target) if good[k] else (every,):
-                np.add.at(counts, ids, 1)
-                np.add.at(counts, pairs, 1)
-    there = np.flatnonzero(every)
-    for start in range(0, len(there), 65536):
-        part = there[start : start + 65536]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(every[part]), pa.array(target[part])], names=["place", "n", "good"])
-
-
-def score(docs: DataFrame, labels: DataFrame, most: int = VOCABULARY) -> DataFrame:
+            _, _, good, lengths, chunk = _opened(batch.column(2)[k].as_py(), slots)
+            slot, sent = zip(*chunk.messages(np.repeat(good, lengths)), strict=True)
+            yield _rows([batch.column(0)[k].as_py()] * len(sent), list(slot), list(sent))
+
+
+def _replies(table: pa.Table) -> pa.Table:
+    """To each message of a slot, the sums of its words and bigrams over all messages; once, the slot's distinct words and their sums."""
+    sent = [_unpacked(b, np.uint64, np.uint64, np.uint32, np.uint32) for b in table["sent"].to_pylist()]
+    sums, whole = [], []
+    for kind in (0, 1):
+        ids, at = np.unique(np.concatenate([np.cumsum(m[kind], dtype=np.uint64) for m in sent]), return_inverse=True)
+        both = []
+        for k in (2, 3):
+            n = np.concatenate([m[k][: len(m[0])] if kind == 0 else m[k][len(m[0]) :] for m in sent])
+            total = np.zeros(len(ids), np.int64)
+            np.add.at(total, at, n)
+            both.append(total[at])
+            if kind == 0:
+                whole.append(int(total.sum()))
+        if kind == 0:
+            kinds = len(ids)
+        sums.append(both)
+    out, done = [], [0, 0]
+    for m in sent:
+        ends = [done[kind] + len(m[kind]) for kind in (0, 1)]
+        out.append(_packed(*(np.concatenate([sums[kind][k][done[kind] : ends[kind]] for kind in (0, 1)]) for k in (0, 1))))
+        done = ends
+    rest = [0] * (len(sent) - 1)
+    return pa.table({
+        "chunk": table["chunk"], "slot": table["slot"], "sent": pa.array(out, pa.binary()), "kinds": pa.array([kinds, *rest], pa.int64()),
+        "n": pa.array([whole[0], *rest], pa.int64()), "good": pa.array([whole[1], *rest], pa.int64()),
+    })
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row per document: doc_id, n_tokens, target_loss, background_loss, ce_difference. Target: labels with quality 1 whose id's crc32 mod 5 is not 0."""
     spark, at = docs.sparkSession, work_dir(docs.sparkSession)
-    number = spark.sparkContext.broadcast(vocabulary(docs, most))
-    size = len(number.value) + 1
     good = labels.where("quality = 1").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     good = written(good.withColumn("good", F.lit(True)), f"{at}/good")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    marked = rows.join(sized(good), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    counts = marked.mapInArrow(lambda b: _model_counts(b, number.value, size), "place int, n long, good long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    sums = counts.toArrow()  # at most VOCABULARY + 1 + BUCKETS rows, in Arrow's columns: as Python rows they would take most of a gigabyte
-    models = []
-    for column in ("good", "n"):
-        full = np.zeros(size + BUCKETS, np.float32)
-        full[sums["place"].to_numpy()] = sums[column].to_numpy()
-        models.append(Counts(full[:size].astype(np.float64), full[size:]))
-    shared = spark.sparkContext.broadcast(models)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = shared.value
-        for batch in batches:
-            n, a, b = [], [], []
-            for k in range(batch.num_rows):
-                ids = numbered(batch.column(1)[k].as_py(), number.value)
-                n.append(len(ids))
-                a.append(target.losses(ids) / len(ids) if len(ids) else None)
-                b.append(background.losses(ids) / len(ids) if len(ids) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
-
-    found = rows.mapInArrow(scored, "doc_id long, n_tokens long, target_loss double, background_loss double")
-    return found.withColumn("ce_difference", F.col("target_loss") - F.col("background_loss"))
+    slots = max(SLOTS, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLOT_BYTES)
+    marked = rows.join(sized(good), "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    chunks = written(marked.mapInArrow(_chunks, _SENT), f"{at}/chunks", **_BLOBS)
+    replies = written(chunks.mapInArrow(lambda b: _messages(b, slots), _SENT).groupBy("slot").applyInArrow(_replies, f"{_SENT}, kinds long, n long, good long"), f"{at}/replies", **_BLOBS)
+    released(spark)
+    kinds, total, target = (x or 0 for x in replies.agg(F.sum("kinds"), F.sum("n"), F.sum("good")).first())
+
+    def scored(table: pa.Table) -> pa.Table:
+        found = dict(zip(table["slot"].to_pylist(), table["sent"].to_pylist(), strict=True))
+        ids, known, _, lengths, chunk = _opened(found[-1], slots)
+        every, marked = chunk.counts([_unpacked(found[s], np.int64, np.int64) for s in range(slots)])
+        there, columns = lengths > 0, []
+        for counts, size in ((marked, target), (every, total)):
+            loss = np.zeros(len(lengths))
+            loss[there] = chunk.losses(*counts, size, kinds + 1) / lengths[there]
+            columns.append(pa.array(loss, mask=~there))
+        return pa.table({"doc_id": pa.array(ids, mask=~known), "n_tokens": pa.array(lengths), "target_loss": columns[0], "background_loss": columns[1]})
+
+    both = chunks.unionByName(replies.select("chunk", "slot", "sent"))
+    losses = both.groupBy("chunk").applyInArrow(scored, "doc_id long, n_tokens long, target_loss double, background_loss double")
+    return losses.withColumn("ce_difference", F.col("target_loss") - F.col("background_loss"))
