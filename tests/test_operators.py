@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tideline.model import RAW_LOG, SCHEMA_VERSION
 from tideline.operators import audits, batching, checkpoints, counters, gtid_sets, ordering, rows, schemas
-from tideline.plans import decode
+from tideline.plans import catalogue, decode
 from tideline.sources import fixture
 
 
@@ -172,3 +172,11 @@ def test_counters(spark):
     assert [r.total for r in counters.deltas(df, "flow", "t", "v").orderBy("t").collect()] == [10, 25, 30]
     r = spark.range(1).select(counters.lag_seconds(F.lit(1000), F.lit(3000)).alias("a"), counters.lag_seconds(F.lit(5000), F.lit(3000)).alias("b"), counters.lag_seconds(F.lit(5000), F.lit(0)).alias("c")).first()
     assert tuple(r) == (0.0, 2.0, None)
+
+
+def test_whole_texts_are_escaped(spark, sf):
+    escaped = lambda t: "\\N" if t is None else t.replace("\\", "\\\\").replace("|", "\\|")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = [(r.doc_id, f"db.t|{escaped(r.text)}|{escaped(None if r.text is None else r.text + '|a' + chr(92) + 'b')}|\\N") for r in docs]
+    got = [tuple(r) for r in catalogue.QUERIES["key_escape_whole"](spark, sf).collect()]
+    assert sorted(got) == sorted(want) and len(got) == len(docs)

@@ -256,6 +256,13 @@ def key_escape(spark, d):
     return docs.select("doc_id", keys.key_of_row(docs.schema, F.lit("db.t"), ["v"]).alias("key"))
 
 
+@query()
+def key_escape_whole(spark, d):
+    """Every document by its whole text, by the text with a bar and a backslash after it, and by a null."""
+    docs = _tpch(spark, d, "documents").select("doc_id", F.col("text").alias("v"), F.concat("text", F.lit("|a\\b")).alias("suffixed"), F.lit(None).cast("string").alias("none"))
+    return docs.select("doc_id", keys.key_of_row(docs.schema, F.lit("db.t"), ["v", "suffixed", "none"]).alias("key"))
+
+
 @query("""select o_orderkey, 'shop.orders|' || o_custkey || '|' || o_orderkey as key, 'shop.orders|' || o_orderkey || '|\\N' as key_missing from orders""".replace("\\\\N", "\\N"))
 def key_override(spark, d):
     o = _tpch(spark, d, "orders")
