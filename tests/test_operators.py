@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.functions import tables
 from tideline.model import RAW_LOG, SCHEMA_VERSION
 from tideline.operators import audits, batching, checkpoints, counters, gtid_sets, ordering, rows, schemas
 from tideline.plans import catalogue, decode
@@ -180,3 +181,23 @@ def test_whole_texts_are_escaped(spark, sf):
     want = [(r.doc_id, f"db.t|{escaped(r.text)}|{escaped(None if r.text is None else r.text + '|a' + chr(92) + 'b')}|\\N") for r in docs]
     got = [tuple(r) for r in catalogue.QUERIES["key_escape_whole"](spark, sf).collect()]
     assert sorted(got) == sorted(want) and len(got) == len(docs)
+
+
+def cut(text, n):
+    """The longest run of whole characters in n bytes."""
+    if text is None or len(text.encode()) <= n:
+        return text
+    k = len(text)
+    while len(text[:k].encode()) > n:
+        k -= 1
+    return text[:k] + "..."
+
+
+def test_texts_are_cut_between_code_points(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = [tuple(r) for r in catalogue.QUERIES["truncated_every_text"](spark, sf).collect()]
+    assert len(got) == len(docs) and sorted(got) == sorted((r.doc_id, cut(r.text, 20)) for r in docs)
+    odd = [None, "", "é" * 9, "a" + "é" * 9, "\U0001f600" * 5, "a" + "\U0001f600" * 5, "ab" + "\U0001f600" * 5, "abc" + "\U0001f600" * 5, "퟿" * 5, "a" + "퟿" * 5]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, t string")
+    for n in range(12):
+        assert [r.v for r in rows.orderBy("k").select(tables.truncated(F.col("t"), n).alias("v")).collect()] == [cut(t, n) for t in odd]

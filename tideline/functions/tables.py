@@ -79,5 +79,10 @@ def wire_kind(data_type: Column) -> Column:
 
 
 def truncated(text: Column, n: int) -> Column:
-    """At most n bytes of a text for a log line."""
-    return F.when(F.octet_length(text) > n, F.concat(F.decode(F.substr(F.encode(text, "UTF-8"), F.lit(1), F.lit(n)), "UTF-8"), F.lit("..."))).otherwise(text)
+    """At most n bytes of a text for a log line; a code point that the cut would split is left out, for a text holds no part of one."""
+    data = F.encode(text, "UTF-8")
+    splits = lambda k: F.hex(F.substr(data, F.lit(k + 1), F.lit(1))).between("80", "BF")  # noqa: E731  whether a code point goes on after byte k
+    end = F.lit(max(n - 3, 0))
+    for k in range(max(n - 2, 0), n + 1):
+        end = F.when(splits(k), end).otherwise(k)
+    return F.when(F.octet_length(text) > n, F.concat(F.decode(F.substr(data, F.lit(1), end), "UTF-8"), F.lit("..."))).otherwise(text)

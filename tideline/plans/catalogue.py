@@ -507,3 +507,7 @@ def truncated_text(spark, d):
     return docs.select("doc_id", tables.truncated(F.col("text"), 20).alias("line"))
 
 
+@query()
+def truncated_every_text(spark, d):
+    """Every document, of any language."""
+    return _tpch(spark, d, "documents").select("doc_id", tables.truncated(F.col("text"), 20).alias("line"))
