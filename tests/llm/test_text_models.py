@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import fingerprints, importance, lm_scoring, toxicity
+from tideline.llm import fingerprints, importance, lm_scoring, queries, toxicity
 
 ODD = [(None, "no id here"), (10_001, None), (10_002, ""), (10_003, "word " * 60_000), (10_004, "퟿\U0010ffff é"), (10_004, "퟿\U0010ffff é")]
 
@@ -183,3 +183,14 @@ def test_band_of_the_lexicon(spark):
     keep = fingerprints.lexicon(docs, (1.0, 4.0))
     inside = lambda w: bool(keep[fingerprints._bucket(fingerprints.terms(w))][0])
     assert inside("often") and not inside("common") and sum(inside(f"rare{k}") for k in range(400)) < 5
+
+
+def test_queries_hold_nothing_out(spark, tmp_path):
+    held = next(k for k in range(1, 100) if zlib.crc32(str(k).encode()) % 5 == 0)
+    spark.createDataFrame([(held, "fine prose"), (0, "other words here")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(held, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    losses = {r.doc_id: r.ce_difference for r in queries.QUERIES["op6_lm_scoring"](spark, str(tmp_path)).collect()}
+    weights = {r.doc_id: r.log_weight for r in queries.QUERIES["op7_importance_resampling"](spark, str(tmp_path)).collect()}
+    assert losses[held] < losses[0] and weights[held] > weights[0]
+    docs, labels = (spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("documents", "labels"))
+    assert {r.log_weight for r in importance.resample(docs, labels).collect()} == {0.0}

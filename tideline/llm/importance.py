@@ -65,10 +65,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS), pa.int32()), pa.array(raw), pa.array(target)], names=["bucket", "raw", "target"])
 
 
-def ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """ln(target share / raw share) by bucket. Target: labels with quality 1 whose id's crc32 mod 5 is not 0."""
+def ratios(docs: DataFrame, labels: DataFrame, hold_out: bool = True) -> np.ndarray:
+    """ln(target share / raw share) by bucket. Target: labels with quality 1; with hold_out, for evaluation, without those whose id's crc32 mod 5 is 0."""
     at = work_dir(docs.sparkSession)
-    good = labels.where("quality = 1").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    good = labels.where("quality = 1").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0 if hold_out else F.lit(True)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     good = written(good.withColumn("good", F.lit(True)), f"{at}/good")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(sized(good), "doc_id", "left")
     counts = rows.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_counted, "bucket int, raw long, target long")
@@ -106,10 +106,10 @@ def top(rows: DataFrame, value: str, k: int, at: str) -> DataFrame:
     return rows.where(~edge).withColumn("kept", sure).unionByName(ranked).drop("coarse", "fine")
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: str = "gumbel") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: str = "gumbel", hold_out: bool = True) -> DataFrame:
     """A row per document: doc_id, log_weight, gumbel_score, kept (the share `keep` of all rows, rounded up)."""
     spark, at = docs.sparkSession, work_dir(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(ratios(docs, labels))
+    shared = spark.sparkContext.broadcast(ratios(docs, labels, hold_out))
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

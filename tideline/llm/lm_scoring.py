@@ -218,10 +218,10 @@ def _replies(table: pa.Table) -> pa.Table:
     })
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """A row per document: doc_id, n_tokens, target_loss, background_loss, ce_difference. Target: labels with quality 1 whose id's crc32 mod 5 is not 0."""
+def score(docs: DataFrame, labels: DataFrame, hold_out: bool = True) -> DataFrame:
+    """A row per document: doc_id, n_tokens, target_loss, background_loss, ce_difference. Target: labels with quality 1; with hold_out, for evaluation, without those whose id's crc32 mod 5 is 0."""
     spark, at = docs.sparkSession, work_dir(docs.sparkSession)
-    good = labels.where("quality = 1").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    good = labels.where("quality = 1").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0 if hold_out else F.lit(True)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     good = written(good.withColumn("good", F.lit(True)), f"{at}/good")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     slots = max(SLOTS, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLOT_BYTES)

@@ -31,11 +31,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), hold_out=False)
 
 
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), hold_out=False)
 
 
 def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
