@@ -194,3 +194,11 @@ def test_queries_hold_nothing_out(spark, tmp_path):
     assert losses[held] < losses[0] and weights[held] > weights[0]
     docs, labels = (spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("documents", "labels"))
     assert {r.log_weight for r in importance.resample(docs, labels).collect()} == {0.0}
+
+
+def test_importance_weight_is_the_ratio_of_the_models(spark):
+    rows = [(1, "a b c"), (2, "d e"), (3, "a b " * 40), (4, "")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    ratio = importance.ratios(docs, labels, hold_out=False)
+    got = {r.doc_id: r.log_weight for r in importance.resample(docs, labels, hold_out=False).collect()}
+    assert any(ratio) and all(abs(got[i] - sum(ratio[g] for g in importance.grams(t))) < 1e-9 for i, t in rows)

@@ -1,8 +1,8 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Words and word pairs of each text are hashed into BUCKETS; over the target (labelled good) and over all
-documents their shares give two generative models. A document's log-weight is the mean log-ratio of its n-grams
-times LENGTH, the n-grams of an example of usual length, so that the weights of short and long documents compare. Gumbel noise, a
+documents their shares give two generative models. A document's log-weight is the log-ratio of its probabilities under them, the
+sum over its n-grams. Gumbel noise, a
 function of the document's id and a seed, is added, and the documents with the largest sums are kept: a sample without replacement
 with probabilities in proportion to the weights.
 
@@ -28,7 +28,6 @@ from tideline.llm.common import sized, text_of, work_dir, written
 from tideline.llm.mixing import uniform
 
 BUCKETS = 10_000
-LENGTH = 128
 KEEP = 0.85
 RANGES = 4096
 
@@ -114,7 +113,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: str =
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [grams(batch.column(1)[k].as_py()) for k in range(batch.num_rows)]
-            weights = [float(shared.value[g].mean()) * LENGTH if len(g) else 0.0 for g in found]
+            weights = [float(shared.value[g].sum()) for g in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.float64())], names=["doc_id", "log_weight"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(weighed, "doc_id long, log_weight double")
