@@ -74,11 +74,9 @@ def test_odd_rows(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_linked_sets_share_a_list(percent):
-    """For pairs at the edge of the threshold, of all sizes, under each seed."""
-    rng, lists = np.random.default_rng(0), ngram_join.Lists(percent)
-    for n in [*range(1, 60), 90, 147, 300, 1000]:
+def linked(rng, percent, sizes):
+    """Pairs of sets at the edge of the threshold."""
+    for n in sizes:
         for _ in range(6):
             a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
             b = a.copy()
@@ -90,8 +88,80 @@ def test_linked_sets_share_a_list(percent):
                 b = c
                 if rng.random() < 0.02:
                     break
-            for seed in (0, 1):
-                assert np.intersect1d(lists.of(a, seed), lists.of(b, seed)).size
+            yield a, b
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_light_sets_share_a_subset(percent):
+    for a, b in linked(np.random.default_rng(0), percent, range(1, 15)):
+        assert np.intersect1d(ngram_join.subsets(a, percent), ngram_join.subsets(b, percent)).size
+        assert len(ngram_join.subsets(a, percent)) == ngram_join.n_subsets(len(a), percent)
+
+
+def test_boundary_weighs_both_costs():
+    """Where inverted lists are long, more sizes are light; where nothing is scanned, only those of one subset are."""
+    short = {n: (100, 0, 0) for n in range(1, 30)}
+    long = {n: (100, 300, 300_000) for n in range(1, 30)}
+    none = ngram_join.boundary(short, 85)
+    assert all(ngram_join.n_subsets(n, 85) * 100 <= 0 for n in range(1, none + 1))
+    cost = lambda b: sum(e + s if n > b else 100 * ngram_join.n_subsets(n, 85) + (e if n >= ngram_join.least_overlap(b + 1, 85) else 0) for n, (_, e, s) in long.items())
+    assert cost(ngram_join.boundary(long, 85)) == min(map(cost, range(27))) and ngram_join.boundary(long, 85) > 13
+
+
+@pytest.mark.parametrize("light", [0, 3, 12, 20])
+def test_any_boundary_gives_the_same_result(spark, monkeypatch, light):
+    monkeypatch.setattr(ngram_join, "boundary", lambda costs, percent: light)
+    monkeypatch.setattr(ngram_join, "CHUNK", 2000)
+    rng, words = random.Random(9), [f"w{k}" for k in range(60)]
+    rows = []
+    while len(rows) < 300:
+        base = [rng.choice(words) for _ in range(rng.randint(1, 24))]
+        for _ in range(rng.choice([1, 2, 5])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs, 1, 80).collect()}
+    assert got == brute(rows, 1, 80)
+
+
+def test_many_near_copies_without_an_id(spark):
+    """Rows are found again by id and text, so rows without an id meet their own text only."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(1000):
+        base = [f"a{k}x{rng.randrange(40)}" for _ in range(60)]
+        rows += [(None, " ".join(base)), (None, " ".join([*base, "end"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ngram_join.representatives(docs).count() == 1000
+    assert ngram_join.join(docs).where("component_id is not null").count() == 0
+
+
+def test_representatives_of_repeated_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (1, text), (2, text + " end"), (3, "other words of a text that stands alone"), (3, text + " more"), (None, text + " last"), (None, "none at all"), (4, ""), (4, "")]
+    kept = ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, text), (3, rows[3][1]), (None, "none at all"), (4, ""), (4, "")], key=str)
+
+
+@pytest.mark.parametrize("leaders", [0, 4])
+def test_large_components_by_their_leaders(spark, monkeypatch, leaders):
+    """Two wide groups with a bridge between them, and sets that only share most of a passage."""
+    monkeypatch.setattr(ngram_join, "MOST_MEMBERS", 16)
+    monkeypatch.setattr(ngram_join, "LEADERS", leaders)
+    rng, rows = random.Random(8), []
+    base = [f"w{k}" for k in range(120)]
+    for step in range(6):
+        base = [f"s{step}x{k}" if rng.random() < 0.06 else w for k, w in enumerate(base)]
+        for _ in range(40):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2, 8])):
+                copy[rng.randrange(120)] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs, 1, 85).collect()}
+    assert got == brute(rows, 1, 85)
 
 
 def test_a_wide_group_of_near_copies(spark):

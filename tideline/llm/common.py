@@ -6,15 +6,18 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The word of every size and shingle: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters that exact comparison deletes.
 SPACES = " \t\n\x0b\x0c\r"
-#: Rows up to which a narrow side (a few numbers a row, so tens of MB) may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of values, with ROW_BYTES for each row, up to which a side may be broadcast; larger sides are shuffled.
+BROADCAST_BYTES, ROW_BYTES = 48 << 20, 24
 
 _fallback: list[str] = []
 
@@ -22,10 +25,12 @@ _fallback: list[str] = []
 def work_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is missing (local sessions, tests) a temporary folder of this machine serves.
+    A local session may do without that setting and gets a temporary folder of its machine; on a cluster its lack is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _fallback:
             _fallback.append(tempfile.mkdtemp(prefix="tideline-"))
         root = f"file://{_fallback[0]}"
@@ -51,12 +56,43 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """small with a broadcast hint if a count shows that it has at most `limit` rows, else as it is.
+def _bytes_of(column: Column, kind: T.DataType) -> Column:
+    """Size of a column's value: 8 bytes a number, strings and binaries by length, arrays and structures by their parts."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(column).cast("long")
+    elif isinstance(kind, T.ArrayType):
+        size = F.aggregate(column, F.lit(0).cast("long"), lambda n, x: n + _bytes_of(x, kind.elementType))
+    elif isinstance(kind, T.StructType):
+        size = sum((_bytes_of(column.getField(f.name), f.dataType) for f in kind.fields), F.lit(0).cast("long"))
+    else:
+        return F.lit(8).cast("long")
+    return F.coalesce(size, F.lit(0).cast("long"))
 
-    `small` should be a written table, so that counting it is cheap and its exchange can be split where keys are skewed.
+
+def sized(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """small with a broadcast hint if a sum over it shows that its values take at most `limit` bytes, else as it is.
+
+    `small` should be a written table, so that measuring it is cheap and its exchange can be split where keys are skewed.
     """
-    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
+    each = sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in small.schema.fields), F.lit(ROW_BYTES).cast("long"))
+    return F.broadcast(small) if (small.agg(F.sum(each)).first()[0] or 0) <= limit else small
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays, compressed by planes of bytes: the upper bytes of most numbers here are 0."""
+    flat = b"".join(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays)
+    return np.array([len(flat), *(a.nbytes for a in arrays)], np.int64).tobytes() + pa.compress(flat, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    head = 8 * (len(kinds) + 1)
+    size, *lengths = np.frombuffer(data, np.int64, len(kinds) + 1).tolist()
+    flat = np.frombuffer(pa.decompress(data[head:], size, "zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for n, kind in zip(lengths, map(np.dtype, kinds), strict=True):
+        out.append(np.ascontiguousarray(flat[at : at + n].reshape(kind.itemsize, -1).T).view(kind).ravel())
+        at += n
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import released, sized, text_of, work_dir, written
+from tideline.llm.common import packed, released, sized, text_of, unpacked, work_dir, written
 
 CHUNK = 1_000_000
 SLOTS, SLOT_BYTES = 256, 8_000_000  # at least so many slots, and one for so many bytes of text
@@ -69,23 +69,6 @@ def bucket(ids: np.ndarray) -> np.ndarray:
     return _pair_ids(ids[:-1], ids[1:])
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays, compressed by planes of bytes: the upper bytes of most numbers here are 0."""
-    flat = b"".join(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays)
-    return np.array([len(flat), *(a.nbytes for a in arrays)], np.int64).tobytes() + pa.compress(flat, "zstd", asbytes=True)
-
-
-def _unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
-    head = 8 * (len(kinds) + 1)
-    size, *lengths = np.frombuffer(data, np.int64, len(kinds) + 1).tolist()
-    flat = np.frombuffer(pa.decompress(data[head:], size, "zstd", asbytes=True), np.uint8)
-    out, at = [], 0
-    for n, kind in zip(lengths, map(np.dtype, kinds), strict=True):
-        out.append(np.ascontiguousarray(flat[at : at + n].reshape(kind.itemsize, -1).T).view(kind).ravel())
-        at += n
-    return out
-
-
 class Chunk:
     """Distinct words and bigrams of a run of documents, in an order that its words alone decide."""
 
@@ -115,7 +98,7 @@ class Chunk:
             parts = [slice(a, b) for a, b in zip(at, ends, strict=True)]
             at = ends
             steps = (np.diff(i[p], prepend=np.uint64(0)) for i, p in zip(ids, parts, strict=True))
-            yield slot, _packed(*steps, *(np.concatenate([counts[0][k][parts[0]], counts[1][k][parts[1]]]) for k in (0, 1)))
+            yield slot, packed(*steps, *(np.concatenate([counts[0][k][parts[0]], counts[1][k][parts[1]]]) for k in (0, 1)))
 
     def counts(self, replies: list[list[np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Counts of words and bigrams in the whole corpus and in its target text, from the replies of all slots in order."""
@@ -158,8 +141,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.empty(len(ids), np.int32)
         rank[order] = np.arange(len(ids), dtype=np.int32)
         known = np.array([d is not None for d in docs], bool)
-        packed = _packed(np.array([d or 0 for d in docs], np.int64), known, np.array(good, bool), lengths, rank[places], ids[order])
-        return _rows([uuid.uuid4().int >> 65], [-1], [packed])
+        row = packed(np.array([d or 0 for d in docs], np.int64), known, np.array(good, bool), lengths, rank[places], ids[order])
+        return _rows([uuid.uuid4().int >> 65], [-1], [row])
 
     for batch in batches:
         for k in range(batch.num_rows):
@@ -175,9 +158,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def _opened(packed: bytes, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Chunk]:
+def _opened(data: bytes, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Chunk]:
     """Of a chunk: ids of its documents, whether they have one, whether they are target text, their lengths, and the Chunk."""
-    ids, known, good, lengths, places, word_ids = _unpacked(packed, np.int64, bool, bool, np.int64, np.int32, np.uint64)
+    ids, known, good, lengths, places, word_ids = unpacked(data, np.int64, bool, bool, np.int64, np.int32, np.uint64)
     return ids, known, good, lengths, Chunk(lengths, places, word_ids, slots)
 
 
@@ -191,7 +174,7 @@ def _messages(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.Reco
 
 def _replies(table: pa.Table) -> pa.Table:
     """To each message of a slot, the sums of its words and bigrams over all messages; once, the slot's distinct words and their sums."""
-    sent = [_unpacked(b, np.uint64, np.uint64, np.uint32, np.uint32) for b in table["sent"].to_pylist()]
+    sent = [unpacked(b, np.uint64, np.uint64, np.uint32, np.uint32) for b in table["sent"].to_pylist()]
     sums, whole = [], []
     for kind in (0, 1):
         ids, at = np.unique(np.concatenate([np.cumsum(m[kind], dtype=np.uint64) for m in sent]), return_inverse=True)
@@ -209,7 +192,7 @@ def _replies(table: pa.Table) -> pa.Table:
     out, done = [], [0, 0]
     for m in sent:
         ends = [done[kind] + len(m[kind]) for kind in (0, 1)]
-        out.append(_packed(*(np.concatenate([sums[kind][k][done[kind] : ends[kind]] for kind in (0, 1)]) for k in (0, 1))))
+        out.append(packed(*(np.concatenate([sums[kind][k][done[kind] : ends[kind]] for kind in (0, 1)]) for k in (0, 1))))
         done = ends
     rest = [0] * (len(sent) - 1)
     return pa.table({
@@ -234,7 +217,7 @@ def score(docs: DataFrame, labels: DataFrame, hold_out: bool = True) -> DataFram
     def scored(table: pa.Table) -> pa.Table:
         found = dict(zip(table["slot"].to_pylist(), table["sent"].to_pylist(), strict=True))
         ids, known, _, lengths, chunk = _opened(found[-1], slots)
-        every, marked = chunk.counts([_unpacked(found[s], np.int64, np.int64) for s in range(slots)])
+        every, marked = chunk.counts([unpacked(found[s], np.int64, np.int64) for s in range(slots)])
         there, columns = lengths > 0, []
         for counts, size in ((marked, target), (every, total)):
             loss = np.zeros(len(lengths))

@@ -61,7 +61,7 @@ def mix(docs: DataFrame, seed: str = "mix", share: float = 1.0) -> DataFrame:
     sources = written(sources_of(sizes, share), f"{at}/sources")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(copies)
-    named = sized(sources.select(F.col("source").alias("of"), "source_size", "target", whole.alias("whole"), (copies - whole).alias("chance"), (F.col("target") - whole * F.col("source_size")).alias("need")), 100_000)
+    named = sized(sources.select(F.col("source").alias("of"), "source_size", "target", whole.alias("whole"), (copies - whole).alias("chance"), (F.col("target") - whole * F.col("source_size")).alias("need")))
     rows = sizes.join(named, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     u = uniform(F.col("doc_id"), seed)
     odds = u / (1 - u) * ((1 - F.col("chance")) / F.col("chance"))
@@ -99,7 +99,7 @@ def _end(words: DataFrame, keys: list[str], at: str, need: str) -> DataFrame:
 def _with(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     there = small.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in small.columns if c not in keys))
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return rows.join(sized(there, 100_000), on, "left").drop(*(f"_{k}" for k in keys))
+    return rows.join(sized(there), on, "left").drop(*(f"_{k}" for k in keys))
 
 
 def mixed(docs: DataFrame, seed: str = "mix", share: float = 1.0) -> DataFrame:
