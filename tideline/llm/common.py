@@ -78,6 +78,20 @@ def sized(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(small) if (small.agg(F.sum(each)).first()[0] or 0) <= limit else small
 
 
+def least(keys: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` least distinct values of a column of 64-bit hashes.
+
+    Only hashes below a bound that leaves some times `most` rows are sorted; where repeated ones leave too few, all are.
+    """
+    rows, width = keys.count(), 2**63
+    below = -width + 2 * width * min(1.0, 8 * most / max(rows, 1))
+    if below < width * 0.99:
+        found = keys.where(F.col(key) < int(below)).select(key).distinct()
+        if found.limit(most).count() == most:
+            return found.orderBy(key).limit(most)
+    return keys.select(key).distinct().orderBy(key).limit(most)
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays, compressed by planes of bytes: the upper bytes of most numbers here are 0."""
     flat = b"".join(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays)
