@@ -76,25 +76,24 @@ def test_lm_losses_are_the_models(spark, world):
     assert got[10_001].target_loss is None and got[10_002].n_tokens == 0
     target = {i for i, q, _ in [tuple(r) for r in labels.collect()] if q == 1 and i is not None and zlib.crc32(str(i).encode()) % 5}
     texts = [(i, t) for i, t, *_ in rows] + ODD
-    numbers = lm_scoring.vocabulary(docs)
-    shared = lambda a, b: int(lm_scoring.bucket(np.array([numbers[a], numbers[b]]))[0])  # noqa: E731  bigrams may share a counter
+    tokens = lambda t: [*w, None] if (w := (t or "").lower().split()) else []  # noqa: E731  None: the end
     for name, chosen in (("target_loss", [t for i, t in texts if i in target]), ("background_loss", [t for _, t in texts])):
         single, double = Counter(), Counter()
         for t in chosen:
-            w = (t or "").lower().split()
+            w = tokens(t)
             single.update(w)
-            double.update(shared(*x) for x in zip(w, w[1:], strict=False))
-        kinds = len({w for _, t in texts for w in (t or "").lower().split()}) + 1
+            double.update(zip(w, w[1:], strict=False))
+        kinds = len({w for _, t in texts for w in tokens(t)}) + 1
         total = sum(single.values())
         for i, t, *_ in rows[:40]:
-            w = t.lower().split()
+            w = tokens(t)
             loss = 0.0
             for k, x in enumerate(w):
                 p = (single[x] + 0.5) / (total + 0.5 * kinds)
                 if k and single[w[k - 1]]:
-                    p = 0.6 * min(double[shared(w[k - 1], x)], single[w[k - 1]], single[x]) / single[w[k - 1]] + 0.4 * p
+                    p = 0.6 * double[w[k - 1], x] / single[w[k - 1]] + 0.4 * p
                 loss -= math.log(p)
-            assert abs(got[i][name] - loss / len(w)) < 1e-5
+            assert abs(got[i][name] - loss / len(w)) < 1e-9 and got[i].n_tokens == len(w) - 1
     held = [(got[i].ce_difference, q) for i, _, q, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert max(d for d, q in held if q) < min(d for d, q in held if not q)
 
@@ -117,19 +116,38 @@ def test_lm_counts_every_word_exactly(spark, monkeypatch):
     for name, chosen in (("target_loss", [t for i, t in rows if i is not None and i % 2 == 0 and i < 102 and zlib.crc32(str(i).encode()) % 5]), ("background_loss", [t for _, t in rows])):
         single, double = Counter(), Counter()
         for t in chosen:
-            single.update(t.split())
-            double.update(zip(t.split(), t.split()[1:], strict=False))
+            w = [*t.split(), None] if t else []
+            single.update(w)
+            double.update(zip(w, w[1:], strict=False))
         total = sum(single.values())
         for i, t in rows[:-1]:
-            w, loss = t.split(), 0.0
+            w, loss = [*t.split(), None], 0.0
             for k, x in enumerate(w):
-                p = (single[x] + 0.5) / (total + 0.5 * (kinds + 3))
+                p = (single[x] + 0.5) / (total + 0.5 * (kinds + 4))
                 if k and single[w[k - 1]]:
                     p = 0.6 * double[w[k - 1], x] / single[w[k - 1]] + 0.4 * p
                 loss -= math.log(p)
             assert abs(got[i][name] - loss / len(w)) < 1e-9
 
 
+def test_lm_probabilities_sum_to_one():
+    """Over the vocabulary, the end and an unknown word, in every context."""
+    rng = random.Random(5)
+    texts = [[rng.randrange(2, 9) for _ in range(rng.randint(1, 12))] + [1] for _ in range(30)]
+    kinds = 8
+    single, double = Counter(w for t in texts for w in t), Counter(x for t in texts for x in zip(t, t[1:], strict=False))
+    for context in range(2, 10):  # 9 never occurs
+        mass = 0.0
+        for w in [*range(1, 9), 10]:
+            ids = np.array(sorted({context, w}), np.uint64)
+            chunk = lm_scoring.Chunk(np.array([2]), np.searchsorted(ids, np.array([context, w], np.uint64)), ids, 4)
+            counts = [np.array([single[i] for i in ids.tolist()]), np.array([double[context, w]])]
+            both = chunk.losses(*counts, sum(single.values()), kinds + 1)[0]
+            first = (single[context] + 0.5) / (sum(single.values()) + 0.5 * (kinds + 1))
+            mass += math.exp(-both) / first
+        assert abs(mass - 1) < 1e-9
+
+
 def test_importance_keeps_the_good(world):
     rows, docs, labels = world
     got = {r.doc_id: r for r in importance.resample(docs, labels, 0.6).collect()}

@@ -1,9 +1,9 @@
 """Cross-entropy difference of two matched n-gram models.
 
 The target model is read from documents labelled as good, the background model from all documents. Both are
-word bigram models of one form, interpolated with unigrams, over one shared vocabulary: all words of the corpus, and one
-more for words that it lacks. Words and bigrams are counted exactly, by 64-bit ids, in tables that grow with
-the corpus. Per document: the loss per token under either model, and target loss minus background loss (low: like the target).
+word bigram models of one form, interpolated with unigrams, over one shared vocabulary: all words of the corpus, the end of
+a text, and one more for words that it lacks. In any context the probabilities of these sum to one. Words and bigrams are counted exactly, by 64-bit ids, in tables that grow with
+the corpus. Per document: the loss per token under either model (its words and its end), and target loss minus background loss (low: like the target).
 
 Documents are taken in chunks of about CHUNK words. A chunk sends its distinct words and bigrams with their counts to
 slots by id, a slot adds up what all chunks sent and replies in the order of each message, and a chunk is scored
@@ -31,6 +31,7 @@ CHUNK = 1_000_000
 SLOTS, SLOT_BYTES = 256, 8_000_000  # at least so many slots, and one for so many bytes of text
 BIGRAM_SHARE = 0.6  # weight of the bigram estimate where its context was seen
 SMOOTHING = 0.5
+END = np.uint64(1)  # id of the end of a text
 _SENT = "chunk long, slot int, sent binary"
 _BLOBS = {"parquet.block.size": 16 << 20, "parquet.enable.dictionary": False}  # a writer holds a block in memory
 
@@ -52,28 +53,17 @@ class _Ids(dict):
 _ids = _Ids()
 
 
-def vocabulary(docs: DataFrame) -> dict[str, int]:
-    """Id of each word of a small table, for checks; score() keeps its words in tables."""
-    return {w: _ids[w] for r in docs.select(text_of().alias("text")).toLocalIterator() for w in words(r.text)}
-
-
 def _pair_ids(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     x = first * np.uint64(0x9E3779B97F4A7C15) ^ second
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
-def bucket(ids: np.ndarray) -> np.ndarray:
-    """Ids of the bigrams in a row of word ids."""
-    ids = ids.astype(np.uint64)
-    return _pair_ids(ids[:-1], ids[1:])
-
-
 class Chunk:
     """Distinct words and bigrams of a run of documents, in an order that its words alone decide."""
 
     def __init__(self, lengths: np.ndarray, places: np.ndarray, ids: np.ndarray, slots: int):
-        """Words of each document, place of each word in the distinct ids, number of slots. A slot is a range of ids."""
+        """Tokens of each document, place of each token in the distinct ids, number of slots. A slot is a range of ids."""
         self.places = places
         self.starts = np.cumsum(lengths)[lengths > 0] - lengths[lengths > 0]
         self.follows = np.ones(len(places), bool)  # whether a word has one before it in its document
@@ -149,7 +139,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = words(batch.column(1)[k].as_py())
             docs.append(batch.column(0)[k].as_py())
             good.append(batch.column(2)[k].as_py())
-            found.append(np.fromiter(map(_ids.__getitem__, text), np.uint64, len(text)))
+            found.append(np.append(np.fromiter(map(_ids.__getitem__, text), np.uint64, len(text)), END) if text else np.zeros(0, np.uint64))
             size += len(text) + 1
             if size >= CHUNK:
                 yield rows()
@@ -223,7 +213,7 @@ def score(docs: DataFrame, labels: DataFrame, hold_out: bool = True) -> DataFram
             loss = np.zeros(len(lengths))
             loss[there] = chunk.losses(*counts, size, kinds + 1) / lengths[there]
             columns.append(pa.array(loss, mask=~there))
-        return pa.table({"doc_id": pa.array(ids, mask=~known), "n_tokens": pa.array(lengths), "target_loss": columns[0], "background_loss": columns[1]})
+        return pa.table({"doc_id": pa.array(ids, mask=~known), "n_tokens": pa.array(lengths - there), "target_loss": columns[0], "background_loss": columns[1]})
 
     both = chunks.unionByName(replies.select("chunk", "slot", "sent"))
     losses = both.groupBy("chunk").applyInArrow(scored, "doc_id long, n_tokens long, target_loss double, background_loss double")
