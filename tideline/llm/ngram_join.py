@@ -55,7 +55,7 @@ from tideline.llm.components import STARS, components, forest, stars
 MOST_MEMBERS, MOST_SHINGLES = 512, 500_000
 MOST_LIGHT = 64
 LEADERS = 4
-CHUNK, SLOT_BYTES, SLOTS = 1_000_000, 8_000_000, 64
+CHUNK, SLOT_BYTES, SLOTS = 1_000_000, 4_000_000, 64
 GROWS_FROM = 1 << 40  # bytes of text from which chunks and slots grow, by its root and up to 16 times
 _BITS = np.uint64(16)  # that frequencies and lists leave out
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
