@@ -3,11 +3,13 @@
 import hashlib
 import math
 import random
+import string
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tideline.llm import fingerprints, importance, lm_scoring, queries, toxicity
@@ -169,19 +171,48 @@ def test_top_with_ties(spark, tmp_path):
             assert got == {i for i, _ in sorted(enumerate(values), key=lambda x: (-x[1], x[0]))[:k]}
 
 
+def brute_prints(texts):
+    """Fingerprints by whole numbers, word by word, from document frequencies counted here."""
+    mask, mix = (1 << 64) - 1, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+    terms = lambda t: {xxhash.xxh3_64_intdigest(b) or 1 for w in t.split() if (b := w.strip(string.punctuation).lower())}
+    df = Counter(h for t in texts for h in terms(t))
+    band = {h for h, n in df.items() if 3.0 <= math.log(len(texts) / n) <= 10.0}
+
+    def member(h, density, k):
+        x = ((h ^ xxhash.xxh3_64_intdigest(f"{density}/{k}")) * mix[0]) & mask
+        return (((x ^ (x >> 32)) * mix[1]) & mask) >> (64 - 2 * density) == 0
+
+    def one(text):
+        found = sorted(terms(text) & band or terms(text))
+        lists = [found] + [[h for h in found if member(h, d, k)] for d in range(1, 6) for k in range(10)]
+        return [(xxhash.xxh32_intdigest(b"".join(h.to_bytes(8, "little") for h in x)) | 1) if x else 0 for x in lists]
+
+    return one
+
+
+def brute_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    shares = []
+    for d in range(5):
+        pairs = list(zip(a[1 + 10 * d : 11 + 10 * d], b[1 + 10 * d : 11 + 10 * d], strict=True))
+        shares.append(sum(x == y != 0 for x, y in pairs) / max(6, sum(x != 0 or y != 0 for x, y in pairs)))
+    return max(shares)
+
+
 def test_fingerprints(spark, world):
     rows, docs, _ = world
     rows = [(i, t) for i, t, *_ in rows] + ODD
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
     got = fingerprints.compare(docs).collect()
     assert len(got) == len(rows)
-    keep = fingerprints.lexicon(docs)
-    want = []
+    one, want = brute_prints([t or "" for _, t in rows]), []
+    spelled = lambda x: b"".join(h.to_bytes(4, "big") for h in x).hex()
     for (i, t), (_, u) in zip(order, order[1:] + order[:1], strict=True):
         t, u = t or "", u or ""
         e = t[: len(t) - len(t) // 4] + u[: len(t) // 4]
-        a, b, c = (fingerprints.fingerprint(x, keep) for x in (t, e, u))
-        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.spelled(a), fingerprints.spelled(b), fingerprints.likeness(a, b), fingerprints.likeness(a, c)))
+        a, b, c = map(one, (t, e, u))
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), spelled(a), spelled(b), brute_likeness(a, b), brute_likeness(a, c)))
     key = lambda r: str(tuple(r))
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     prints = {}
@@ -196,11 +227,25 @@ def test_fingerprints(spark, world):
     assert alone.near_next == 1.0
 
 
-def test_band_of_the_lexicon(spark):
-    docs = spark.createDataFrame([(k, "common " + ("often " if k % 10 == 0 else "") + f"rare{k}") for k in range(400)], "doc_id long, text string")
-    keep = fingerprints.lexicon(docs, (1.0, 4.0))
-    inside = lambda w: bool(keep[fingerprints._bucket(fingerprints.terms(w))][0])
-    assert inside("often") and not inside("common") and sum(inside(f"rare{k}") for k in range(400)) < 5
+def test_band_of_the_lexicon(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(k, "common " + ("often " if k % 10 == 0 else "") + f"rare{k} twice{k // 2}") for k in range(400)], "doc_id long, text string")
+    found = fingerprints.lexicon(docs, (1.0, math.log(400 / 1.5)))
+    found.write.parquet(f"{tmp_path}/lexicon")
+    stored = spark.read.parquet(f"{tmp_path}/lexicon")
+    want = sorted(map(fingerprints.term, ["often", *(f"twice{k}" for k in range(200))]))
+    assert fingerprints.shared(spark, stored)().tolist() == want
+    monkeypatch.setattr(fingerprints, "LEXICON", 10)
+    assert fingerprints.shared(spark, stored)().tolist() == want
+
+
+def test_fingerprints_of_rows_without_an_id(spark):
+    """Rows of one id, or without any, spread over the ranges, and each is followed by one of them."""
+    rows = [(None, f"word{k} and others {k * k}") for k in range(300)] + [(7, f"seven {k}") for k in range(100)]
+    got = fingerprints.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in got) == {None: 300, 7: 100} and Counter(r.n_chars for r in got) == Counter(len(t) for _, t in rows)
+    texts = {t for _, t in rows}
+    follow = [hashlib.sha256((t[: len(t) - len(t) // 4] + u[: len(t) // 4]).encode()).hexdigest() for t in texts for u in texts]
+    assert {r.edited_sha256 for r in got} <= set(follow)
 
 
 def test_queries_hold_nothing_out(spark, tmp_path):
