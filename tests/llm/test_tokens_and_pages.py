@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.llm import html_extract, token_files
 
@@ -31,7 +32,8 @@ def test_round_trip(spark, tmp_path, monkeypatch, by_word):
     table = token_files.write(docs, f"file://{tmp_path}/t", PATH, 1, by_word)
     got = [tuple(r) for r in token_files.read(table).collect()]
     t, at, want = Tokenizer.from_file(PATH), 0, []
-    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
+    hashes = dict(docs.select(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).collect())
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1] or ""])):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -43,6 +45,27 @@ def test_round_trip(spark, tmp_path, monkeypatch, by_word):
     assert sum(token_files.Segment(f.read_bytes()).n for f in files) == len(rows)
 
 
+def test_many_rows_of_one_id_spread(spark, tmp_path):
+    docs = spark.createDataFrame([(None, f"text {k}") for k in range(4000)], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join so small ranges
+    try:
+        table = token_files.write(docs, f"file://{tmp_path}/n", PATH, 1, True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert table.agg(F.max("n_docs")).first()[0] < 2500 and token_files.read(table).where("doc_id is null").count() == 4000
+
+
+def test_tokenizers_that_join_words_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE({chr(k): k - 32 for k in range(32, 127)}, []))
+    t.pre_tokenizer = pre_tokenizers.Split(" ", "isolated")
+    t.save(f"{tmp_path}/t.json")
+    with pytest.raises(ValueError):
+        token_files.Encoder(f"{tmp_path}/t.json", True)
+    assert token_files.Encoder(f"{tmp_path}/t.json", False)("a b")
+
+
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.read(token_files.write(docs, f"file://{tmp_path}/e", PATH, 1, True)).count() == 0
@@ -55,10 +78,14 @@ def test_elias_fano_selects():
         data = token_files.segment_bytes(list(range(n)), packed, 2)
         s = token_files.Segment(data)
         ends = np.cumsum([len(p) // 2 for p in packed])
-        assert s.ends().tolist() == ends.tolist() == [s.end(k) for k in range(n)]
-        bits = 8 * (len(s.lows) + len(s.highs))
+        assert ends.tolist() == [s.end(k) for k in range(n)] and [s.doc_id(k) for k in range(n)] == list(range(n))
+        bits = 8 * (len(s.ends.lows) + len(s.ends.highs))
         assert bits <= n * (2 + max(0, np.log2(max(1, ends[-1] / n)) + 1)) + 24
         assert [len(s.document(k)) * 2 for k in range(n)] == [len(p) for p in packed]
+    for names in ([-(2**63), -(2**63), -5, 0, 3, 2**63 - 1], [7], [5] * 200, list(range(-(2**40), 2**40, 2**33))):
+        s = token_files.Segment(token_files.segment_bytes(names, [b"ab"] * len(names), 2))
+        assert [s.doc_id(k) for k in range(len(names))] == names
+    assert token_files.Segment(token_files.segment_bytes([], [], 2)).n == 0
     with pytest.raises(ValueError):
         token_files.Segment(data[:-1])
     with pytest.raises(ValueError):
