@@ -259,6 +259,36 @@ def test_queries_hold_nothing_out(spark, tmp_path):
     assert {r.log_weight for r in importance.resample(docs, labels).collect()} == {0.0}
 
 
+def test_importance_by_brute_force(spark):
+    """Weights from counts made here, noise from the digest, and the largest sums kept; equal rows and rows without an id too."""
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choice(["a", "b", "c", "dd", "ee"][: 2 + k % 4]) for _ in range(rng.randint(0, 9)))) for k in range(60)] + [(None, "a b")] * 3 + [(7, "a a")] * 2
+    good = {k for k in range(0, 60, 3)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = importance.resample(docs, spark.createDataFrame([(k, 1, 0) for k in good], "doc_id long, quality int, toxic int"), 0.5, hold_out=False).collect()
+    mask = (1 << 64) - 1
+
+    def grams(text):
+        h = [xxhash.xxh3_64_intdigest(w) for w in text.split()]
+        pairs = [((a * 0x9E3779B97F4A7C15) & mask) ^ b for a, b in zip(h, h[1:], strict=False)]
+        pairs = [((x ^ (x >> 31)) * 0xD6E8FEB86659FD93) & mask for x in pairs]
+        return [x % 10_000 for x in h + [x ^ (x >> 32) for x in pairs]]
+
+    raw, target = Counter(g for _, t in rows for g in grams(t)), Counter(g for i, t in rows if i in good for g in grams(t))
+    ratio = lambda g: math.log((target[g] + 1) / (target.total() + 10_000)) - math.log((raw[g] + 1) / (raw.total() + 10_000))
+    seen, want = Counter(), []
+    for i, t in rows:
+        digest = hashlib.md5(t.encode()).hexdigest()[:12]
+        name = f"{'' if i is None else i}:{digest}:{seen[i, t]}:gumbel"
+        seen[i, t] += 1
+        u = (int(hashlib.md5(name.encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        weight = sum(map(ratio, grams(t)))
+        want.append((i, round(weight, 9), round(weight - math.log(-math.log(u)), 9)))
+    kept = sorted(want, key=lambda r: -r[2])[: math.ceil(len(rows) / 2)]
+    assert sorted([(r.doc_id, round(r.log_weight, 9), round(r.gumbel_score, 9)) for r in got], key=str) == sorted(want, key=str)
+    assert sorted([(r.doc_id, round(r.gumbel_score, 9)) for r in got if r.kept], key=str) == sorted([(i, s) for i, _, s in kept], key=str)
+
+
 def test_importance_weight_is_the_ratio_of_the_models(spark):
     rows = [(1, "a b c"), (2, "d e"), (3, "a b " * 40), (4, "")]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")

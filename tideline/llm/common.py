@@ -122,6 +122,23 @@ def n_words(column: str = "text") -> Column:
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
 
 
+def body(column: str = "text") -> Column:
+    """48 bits of a text's MD5 as 12 hex digits: with the id, what tells rows apart."""
+    return F.substring(F.md5(F.encode(text_of(column), "UTF-8")), 1, 12)
+
+
+def each_row(rows: DataFrame) -> DataFrame:
+    """rows with `copy`: 0, 1, .. among equal ones. Equal rows are counted before they meet, so that no task holds many."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_times"))
+    return counted.select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)).alias("copy"))
+
+
+def uniform(doc_id: Column, body: Column, copy: Column, seed: str) -> Column:
+    """A number in (0, 1) that depends on the row (see body, each_row) and the seed alone."""
+    named = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), body, copy.cast("string"), F.lit(seed))
+    return (F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
+
+
 def normalised(column: str = "text") -> Column:
     """The text without ASCII white space; null counts as empty."""
     return F.translate(text_of(column), SPACES, "")

@@ -3,14 +3,14 @@
 Words and word pairs of each text are hashed into BUCKETS; over the target (labelled good) and over all
 documents their shares give two generative models. A document's log-weight is the log-ratio of its probabilities under them, the
 sum over its n-grams. Gumbel noise, a
-function of the document's id and a seed, is added, and the documents with the largest sums are kept: a sample without replacement
+function of the document's id, its text and a seed, is added, and the documents with the largest sums are kept: a sample without replacement
 with probabilities in proportion to the weights.
 
 The k-th largest sum is found by two rounds of histograms; only documents of one narrow range are ranked.
 
-Cases: a null or empty text has no n-grams and log-weight 0; a null doc_id is scored, with the noise of the empty
+Cases: a null or empty text has no n-grams and log-weight 0; a null doc_id is scored, as the empty
 id; labels repeated for an id count once; with no target text all weights are equal; equal sums fall to the
-smaller id; repeated rows are ranked each; an empty table gives an empty result.
+smaller id; repeated rows are ranked each, with noise of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.common import sized, text_of, work_dir, written
-from tideline.llm.mixing import uniform
+from tideline.llm.common import body, each_row, sized, text_of, uniform, work_dir, written
 
 BUCKETS = 10_000
 KEEP = 0.85
@@ -112,12 +111,11 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: str =
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [grams(batch.column(1)[k].as_py()) for k in range(batch.num_rows)]
-            weights = [float(shared.value[g].sum()) for g in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.float64())], names=["doc_id", "log_weight"])
+            weights = [float(shared.value[grams(batch.column(2)[k].as_py())].sum()) for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(weights, pa.float64())], names=["doc_id", "body", "log_weight"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(weighed, "doc_id long, log_weight double")
-    noise = -F.log(-F.log(uniform(F.col("doc_id"), seed)))
-    scored = written(rows.withColumn("gumbel_score", F.col("log_weight") + noise), f"{at}/scored")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("body"), text_of().alias("text")).mapInArrow(weighed, "doc_id long, body string, log_weight double")
+    noise = -F.log(-F.log(uniform(F.col("doc_id"), F.col("body"), F.col("copy"), seed)))
+    scored = written(each_row(rows).withColumn("gumbel_score", F.col("log_weight") + noise), f"{at}/scored")
     n = scored.count()
-    return top(scored, "gumbel_score", -int(-n * keep // 1), at)
+    return top(scored, "gumbel_score", -int(-n * keep // 1), at).select("doc_id", "log_weight", "gumbel_score", "kept")

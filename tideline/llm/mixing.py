@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.common import n_words, sized, work_dir, written
+from tideline.llm.common import body, each_row, n_words, sized, uniform, work_dir, written
 
 RANGES = 4096
 MOST_COPIES = 3
@@ -48,22 +48,17 @@ def sources_of(sizes: DataFrame, share: float = 1.0) -> DataFrame:
     return shared.select("source", "source_size", "weight", target.alias("target"))
 
 
-def uniform(key: Column, seed: str) -> Column:
-    """A number in (0, 1) that depends on the key and the seed alone."""
-    head = F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 12)
-    return (F.conv(head, 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
-
-
 def mix(docs: DataFrame, seed: str = "mix", share: float = 1.0) -> DataFrame:
-    """A row per document: doc_id, size, source_size, target, taken, copies, source."""
+    """A row per document: doc_id, size, source_size, target, taken, copies, source, body."""
     at = work_dir(docs.sparkSession)
-    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size")), f"{at}/sizes")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"), body().alias("body"))
+    sizes = written(each_row(narrow), f"{at}/sizes")
     sources = written(sources_of(sizes, share), f"{at}/sources")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(copies)
     named = sized(sources.select(F.col("source").alias("of"), "source_size", "target", whole.alias("whole"), (copies - whole).alias("chance"), (F.col("target") - whole * F.col("source_size")).alias("need")))
     rows = sizes.join(named, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    u = uniform(F.col("doc_id"), seed)
+    u = uniform(F.col("doc_id"), F.col("body"), F.col("copy"), seed)
     odds = u / (1 - u) * ((1 - F.col("chance")) / F.col("chance"))
     place = F.when(F.col("chance") > 0, odds / (1 + odds)).otherwise(F.lit(0.0))
     coarse = F.least(F.floor(F.col("place") * RANGES), F.lit(RANGES - 1))
@@ -78,14 +73,14 @@ def mix(docs: DataFrame, seed: str = "mix", share: float = 1.0) -> DataFrame:
     second = written(second.select("source", F.col("at").alias("fine_end"), F.col("before").alias("fine_before")), f"{at}/second")
     rows = _with(rows, second, ["source"])
     last = rows.where((F.col("coarse") == F.col("end")) & (F.col("fine") == F.col("fine_end")))
-    order = W.partitionBy("source").orderBy("place", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("source").orderBy("place", F.col("doc_id").asc_nulls_last(), "size", "body", "copy").rowsBetween(W.unboundedPreceding, -1)
     left = F.col("need") - F.col("end_before") - F.col("fine_before")
     last = last.withColumn("one_more", F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 <= left)
     sure = F.coalesce((F.col("coarse") < F.col("end")) | ((F.col("coarse") == F.col("end")) & (F.col("fine") < F.col("fine_end"))), F.lit(False))
     others = rows.where(~F.coalesce((F.col("coarse") == F.col("end")) & (F.col("fine") == F.col("fine_end")), F.lit(False))).withColumn("one_more", sure)
     taken = F.col("whole") + F.when(F.col("one_more") & (F.col("chance") > 0) & (F.col("size") > 0), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long")
-    return others.unionByName(last).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
+    return others.unionByName(last).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "body")
 
 
 def _end(words: DataFrame, keys: list[str], at: str, need: str) -> DataFrame:
@@ -103,9 +98,20 @@ def _with(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: str = "mix", share: float = 1.0) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it; a row that it doesn't take goes. Rows with one doc_id share their count."""
-    at = work_dir(docs.sparkSession)
-    plan = written(mix(docs, seed, share).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies <> 1"), f"{at}/plan")
-    joined = docs.join(sized(plan.select(F.col("doc_id").alias("_id"), "_copies")), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    times = F.array_repeat(F.lit(1), F.coalesce(F.col("_copies"), F.lit(1)).cast("int"))
-    return joined.select(*docs.columns, F.explode(times).alias("_one")).drop("_one")
+    """docs with each row repeated as often as the mix takes it; a row that it doesn't take goes.
+
+    Rows that repeat an id, a source and a text count as one, which is taken as often as all of them together.
+    """
+    at, keys = work_dir(docs.sparkSession), ["doc_id", "source", "body"]
+    plan = mix(docs, seed, share).groupBy(*keys).agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    plan = written(plan.where("_copies <> 1 or _rows > 1"), f"{at}/plan")
+    named = docs.withColumn("_body", body())
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_from")) & (F.col("_body") == F.col("_of"))
+    planned = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("body").alias("_of"), "_copies", "_rows")
+    joined = named.join(sized(planned), on, "left")
+    times = lambda n: F.explode(F.array_repeat(F.lit(1), n)).alias("_one")
+    once = joined.where("_rows is null or _rows = 1").select(*docs.columns, times(F.coalesce("_copies", F.lit(1)))).drop("_one")
+    if plan.where("_rows > 1").isEmpty():
+        return once
+    several = joined.where("_rows > 1").groupBy("_id", "_from", "_of", "_copies").agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return once.unionByName(several.select("_row", times(F.col("_copies"))).select("_row.*"))

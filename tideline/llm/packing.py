@@ -5,8 +5,9 @@ No bin holds two documents of one source or of one cluster of duplicates. Bins s
 left in them and carry a bitmap of their sources and one of their clusters; a document looks at the bin
 with the least room that takes it, and goes on to the next until one is compatible, else it opens a bin.
 
-Documents are dealt by a hash into shards of about SHARD pieces, and each shard is packed on its own, in
-descending size: a task holds the narrow rows of one shard only, whatever source or cluster they have.
+Documents are dealt by a hash into shards of about SHARD pieces, at every size of the table, and each shard is packed on its own, in
+descending size: a task holds the narrow rows of one shard only, whatever source or cluster they have. Equal rows are told
+apart by an ordinal, so that they spread over shards too. Pieces and bins are named by what they hold: reruns agree.
 
 Cases: a null or empty text has size 0 and is packed without taking room; null sources conflict with each
 other, as one source does; repeated rows are duplicates and never share a bin; an empty table gives an empty
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import n_words, normalised, work_dir, written
+from tideline.llm.common import each_row, n_words, normalised, work_dir, written
 
 SHARD = 4096
 SCHEMA = "doc_id long, piece long, size long, source string, cluster long, bin_id string, bin_used long"
@@ -73,7 +74,7 @@ def bits(values: list, apart: bool = False) -> list[int]:
 
 
 def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    rows = rows.sort_values(["size", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    rows = rows.sort_values(["size", "doc_id", "piece", "cluster", "source", "copy"], ascending=[False] + [True] * 5, kind="stable").reset_index(drop=True)
     sources = [None if pd.isna(s) else s for s in rows["source"]]
     placed = best_fit(rows["size"].tolist(), bits(sources), bits(rows["cluster"].tolist(), True), capacity)
     used = rows.groupby(pd.Series(placed))["size"].transform("sum")
@@ -84,15 +85,18 @@ def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack(docs: DataFrame, capacity: int = 2048, shard: int = SHARD) -> DataFrame:
     """A row per piece of a document: SCHEMA. bin_id names the bin, bin_used is the number of words in it."""
     at = work_dir(docs.sparkSession)
-    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("words"), F.xxhash64(normalised()).alias("cluster")), f"{at}/sizes")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("words"), F.xxhash64(normalised()).alias("cluster"))
+    sizes = written(each_row(named), f"{at}/sizes")
     full = F.floor(F.col("words") / capacity)
     pieces = sizes.select("*", full.alias("full"), (F.col("words") - full * capacity).alias("rest"))
-    rest = pieces.where((F.col("rest") > 0) | (F.col("words") == 0)).select("doc_id", F.col("full").alias("piece"), F.col("rest").alias("size"), "source", "cluster")
+    rest = pieces.where((F.col("rest") > 0) | (F.col("words") == 0)).select("doc_id", F.col("full").alias("piece"), F.col("rest").alias("size"), "source", "cluster", "copy")
     shards = max(1, -(-sizes.count() // shard))
-    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", F.lit("shard")), F.lit(shards)))
+    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "copy", F.lit("shard")), F.lit(shards)))
     packed = dealt.groupBy("shard").applyInPandas(lambda rows: pack_shard(rows, capacity), SCHEMA)
-    whole = pieces.where("full > 0").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece"), "source", "cluster")
-    alone = whole.select("doc_id", "piece", F.lit(capacity).cast("long").alias("size"), "source", "cluster", F.concat(F.lit("full-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("-"), F.lpad(F.hex("cluster"), 16, "0"), F.lit("-"), F.col("piece").cast("string"), F.lit("-"), F.monotonically_increasing_id().cast("string")).alias("bin_id"), F.lit(capacity).cast("long").alias("bin_used"))
+    whole = pieces.where("full > 0").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece"), "source", "cluster", "copy")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    name = F.concat_ws("-", F.lit("full"), text("doc_id"), F.lpad(F.hex("cluster"), 16, "0"), F.lpad(F.hex(F.xxhash64("source")), 16, "0"), text("copy"), text("piece"))
+    alone = whole.select("doc_id", "piece", F.lit(capacity).cast("long").alias("size"), "source", "cluster", name.alias("bin_id"), F.lit(capacity).cast("long").alias("bin_used"))
     return packed.unionByName(alone)
 
 

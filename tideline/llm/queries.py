@@ -23,7 +23,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies", "source")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies", "source", "body")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,15 +79,15 @@ ORACLE_SQL: dict[str, str] = {
         k as (select h, count(*) group_size, arg_min(doc_id, (-n, doc_id)) keep_id from d group by h)
         select d.doc_id, k.keep_id, k.group_size, d.doc_id = k.keep_id as kept, d.h as text_sha256 from d join k using (h)""",
     "op4_mixing": r"""
-        with d as (select cast(doc_id as bigint) doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size from documents),
+        with d as (select cast(doc_id as bigint) doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size, substr(md5(coalesce(text, '')), 1, 12) body from documents),
         s as (select source, cast(sum(size) as bigint) source_size from d group by source),
         w as (select *, cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as double) weight, cast(source_size * 3 as double) lim, cast(sum(source_size) over () as double) total from s),
         l as (select *, (total - coalesce(sum(lim) over (order by lim / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by lim / weight, source nulls last rows between current row and unbounded following) level from w),
         c as (select (select arg_min(level, (lim / weight, source is null, source)) from l where lim / weight >= level) common),
         t as (select source, source_size, least(lim, coalesce(common * weight, lim)) target from l, c),
-        m as (select d.*, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0.0 end copies from d join t on d.source is not distinct from t.source),
-        r as (select *, copies - floor(copies) chance, target - floor(copies) * source_size need, (cast(('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':mix'), 1, 12)) as bigint) + 0.5) / 281474976710656.0 u from m),
+        m as (select d.*, row_number() over (partition by d.doc_id, d.source, d.size, d.body) - 1 as copy, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0.0 end copies from d join t on d.source is not distinct from t.source),
+        r as (select *, copies - floor(copies) chance, target - floor(copies) * source_size need, (cast(('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || body || ':' || copy || ':mix'), 1, 12)) as bigint) + 0.5) / 281474976710656.0 u from m),
         o as (select *, u / (1 - u) * ((1 - chance) / case when chance > 0 then chance end) odds from r),
-        p as (select *, coalesce(sum(size) over (partition by source order by odds / (1 + odds), doc_id, size rows between unbounded preceding and 1 preceding), 0) before from o)
+        p as (select *, coalesce(sum(size) over (partition by source order by odds / (1 + odds), doc_id, size, body, copy rows between unbounded preceding and 1 preceding), 0) before from o)
         select doc_id, size, source_size, target, cast(case when size > 0 then floor(copies) + case when chance > 0 and before + size / 2.0 <= need then 1 else 0 end else 0 end as bigint) * size as taken from p""",
 }
