@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.functions import tables
+from tideline.functions import keys, tables
 from tideline.model import RAW_LOG, SCHEMA_VERSION
 from tideline.operators import audits, batching, checkpoints, counters, gtid_sets, ordering, rows, schemas
 from tideline.plans import catalogue, decode
@@ -178,8 +178,8 @@ def test_counters(spark):
 def test_whole_texts_are_escaped(spark, sf):
     escaped = lambda t: "\\N" if t is None else t.replace("\\", "\\\\").replace("|", "\\|")
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
-    want = [(r.doc_id, f"db.t|{escaped(r.text)}|{escaped(None if r.text is None else r.text + '|a' + chr(92) + 'b')}|\\N") for r in docs]
-    got = [tuple(r) for r in catalogue.QUERIES["key_escape_whole"](spark, sf).collect()]
+    want = [(r.doc_id, f"db.t|\\N|{escaped(None if r.text is None else r.text + '|a' + chr(92) + 'b')}|{escaped(r.text)}") for r in docs]
+    got = [tuple(r) for r in catalogue.QUERIES["key_escape"](spark, sf).collect()]
     assert sorted(got) == sorted(want) and len(got) == len(docs)
 
 
@@ -195,9 +195,40 @@ def cut(text, n):
 
 def test_texts_are_cut_between_code_points(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
-    got = [tuple(r) for r in catalogue.QUERIES["truncated_every_text"](spark, sf).collect()]
+    got = [tuple(r) for r in catalogue.QUERIES["truncated_text"](spark, sf).collect()]
     assert len(got) == len(docs) and sorted(got) == sorted((r.doc_id, cut(r.text, 20)) for r in docs)
     odd = [None, "", "é" * 9, "a" + "é" * 9, "\U0001f600" * 5, "a" + "\U0001f600" * 5, "ab" + "\U0001f600" * 5, "abc" + "\U0001f600" * 5, "퟿" * 5, "a" + "퟿" * 5]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, t string")
     for n in range(12):
         assert [r.v for r in rows.orderBy("k").select(tables.truncated(F.col("t"), n).alias("v")).collect()] == [cut(t, n) for t in odd]
+
+
+def test_batches_are_whole_micro_batches():
+    assert batching.batch_rows(500) == 512 and batching.batch_rows(512) == 512 and batching.batch_rows(1, 7) == 7
+    assert batching.drained([256] * 5, 500) == [512, 512, 256]
+
+
+def test_fnv_of_batches(spark):
+    def fnv(data):
+        h = 2166136261
+        for b in data:
+            h = (h ^ b) * 16777619 & 0xFFFFFFFF
+        return h
+
+    texts = ["", "a", "foobar", "é|ü", "x" * 3000, None, "\U0001f600", "a"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").repartition(2)
+    got = {r.k: r.h for r in rows.select("k", keys.fnv1a32(F.col("t")).alias("h")).collect()}
+    assert got == {k: None if t is None else fnv(t.encode()) for k, t in enumerate(texts)}
+
+
+def test_another_serializer(spark, sf):
+    class Lines:
+        def key(self):
+            return F.encode(F.upper("key"), "UTF-8")
+
+        def value(self):
+            return F.encode(F.concat_ws(" ", "op", "id"), "UTF-8")
+
+    events = decode.change_events(fixture.raw_log(spark, sf), fixture.schema_versions(spark), ["shop.users"])
+    rows = decode.sink_records(events, serializer=Lines()).limit(20).collect()
+    assert all(bytes(r.value).decode().split(" ")[1] == r.id and bytes(r.key).startswith(b"SHOP.USERS|") for r in rows)

@@ -296,3 +296,90 @@ def test_http(spark, tmp_path):
     code, body = call("/readyz")
     assert code == 503 and json.loads(body) == {"ready": False, "failed_flows": ["f"]}
     server.shutdown()
+
+
+def test_slices_hold_every_line_once(tmp_path, monkeypatch):
+    path = tmp_path / "a.jsonl"
+    lines = [json.dumps({"log_seq": k, "kind": "x" * (k % 7), "file": "é"}) for k in range(200)]
+    path.write_text("\n".join(lines) + "\n")
+    size = path.stat().st_size
+    ends = [k for k, b in enumerate(path.read_bytes(), 1) if b == 10]
+    for most in (1, 7, 41, 42, 43, 1000, 10**6):
+        monkeypatch.setattr(captured, "SLICE", most)
+        for first, last in ((0, size), (ends[3], ends[150])):
+            got = [r[0] for s in captured.slices(str(path), first, last) for r in captured._lines(s)]
+            assert got == list(range(200)) if not first else got == list(range(4, 151))
+
+
+def test_ends_of_transactions():
+    line = lambda **r: json.dumps(r).encode()
+    assert captured.ends_transaction(line(kind="xid")) and captured.ends_transaction(line(kind="rotate", file="f"))
+    assert captured.ends_transaction(line(kind="query", query="ALTER TABLE t")) and not captured.ends_transaction(line(kind="query", query=" begin "))
+    assert not captured.ends_transaction(line(kind="write", rows=[['"kind": "xid"']])) and not captured.ends_transaction(b"\n")
+
+
+def test_saved_log_is_read_again(spark, sf, tmp_path):
+    log = fixture.raw_log(spark, sf)
+    captured.save(log, f"file://{tmp_path}/log")
+    again = captured.load(spark, f"file://{tmp_path}/log")
+    assert again.schema.simpleString() == log.select(*again.columns).schema.simpleString()
+    assert again.exceptAll(log.select(*again.columns)).count() == 0 and again.count() == log.count()
+
+
+def test_a_failed_sink_refuses_until_reset(spark):
+    sink, rows = sinks.MemorySink(), spark.createDataFrame([("t", 1)], "topic string, seq_no long")
+    sink.fail_next = 1
+    with pytest.raises(RuntimeError):
+        sink.write(rows, 1)
+    assert sink.err() is not None
+    with pytest.raises(RuntimeError, match="failed before"):
+        sink.write(rows, 2)
+    sink.reset()
+    sink.write(rows, 2)
+    assert sink.err() is None and [n for n, _ in sink.batches] == [1, 2]
+
+
+def test_requests_in_flight(spark):
+    rows = spark.createDataFrame([(k % 8, k) for k in range(64)], "queue int, seq_no long")
+    for most, tasks, each in ((0, 8, 4), (1, 1, 1), (4, 4, 1), (100, 8, 5)):
+        dealt, share = sinks.KafkaSink(["b:1"], max_inflight=most).dealt(rows, 8)
+        assert dealt.rdd.getNumPartitions() == tasks and share == each
+
+
+def test_table_store_keeps_one_version(spark, tmp_path):
+    store = TableStore(spark, f"file://{tmp_path}/s")
+    for k in range(1, 4):
+        store.save("a", Position("g:1", "f", k, k))
+        store.save("b", Position("", "f", 10 * k, k))
+    assert TableStore(spark, f"file://{tmp_path}/s").load("a").offset == 3 and store.load("b").offset == 30 and store.load("c").is_zero
+    assert len(list((tmp_path / "s").glob("flow_id=*/version=*"))) == 2
+    TableStore(spark, f"file://{tmp_path}/s").save("a", Position("g:1", "f", 4, 4))
+    assert store.load("a").offset == 4
+
+
+def test_files_hold_a_publish_batch_at_most(spark, folder, tmp_path):
+    flow = flow_of(spark, folder, tmp_path, sinks.FileSink(f"file://{tmp_path}/out"), capacity=1000)
+    flow.spec.batch_max_size, flow.spec.queue_capacity = 10, 1000
+    flow.run(available_now=True)
+    per = spark.read.parquet(f"{tmp_path}/out/batch=*").groupBy(F.input_file_name()).count()
+    assert per.agg(F.max("count")).first()[0] <= flow.spec.batch_rows == 256
+
+
+def test_hard_stop_leaves_the_batch_to_the_next_run(spark, folder, tmp_path):
+    class Slow(sinks.MemorySink):
+        def _write(self, records, batch_id):
+            time.sleep(8)
+            super()._write(records, batch_id)
+
+    flow = flow_of(spark, folder, tmp_path, Slow(), capacity=1000)
+    runner = threading.Thread(target=lambda: flow.run(), daemon=True)
+    runner.start()
+    while flow.state != "running":
+        time.sleep(0.05)
+    time.sleep(2)
+    flow.stop(hard=True)
+    runner.join(30)
+    assert not runner.is_alive() and flow.state in ("stopped", "failed") and flow.persisted.is_zero
+    again = flow_of(spark, folder, tmp_path, sinks.MemorySink(), capacity=1000)
+    again.run(available_now=True)
+    assert again.published > 0

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.functions.keys import shortest
+
 
 def quoted(text: Column) -> Column:
     """A JSON string."""
@@ -18,6 +20,15 @@ def _finite(number: Column) -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit("unsupported float value "), number.cast("string"))).cast("double")).otherwise(number)
 
 
+def json_number(value: Column, single: bool = False) -> Column:
+    """A double (or a single, in the fewest digits of its own width) without an exponent from 1e-6 to 1e21; NaN and infinities are errors."""
+    if not single:
+        return shortest(_finite(value), -6, 21)
+    text = shortest(_finite(value.cast("string").cast("double")), -6, 21)
+    below = F.abs(value.cast("double")) < 1e-6  # as is the single that is spelled 1e-6
+    return F.when(below, F.replace(text, F.lit("0.000001"), F.lit("1e-06"))).otherwise(text)
+
+
 def fragment(value: Column, kind: T.DataType, is_json: bool = False) -> Column:
     """A value as JSON text; never null."""
     if is_json:
@@ -25,8 +36,7 @@ def fragment(value: Column, kind: T.DataType, is_json: bool = False) -> Column:
     elif isinstance(kind, T.BinaryType):
         text = F.concat(F.lit('"'), F.base64(value), F.lit('"'))
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
-        inside = F.to_json(F.array(_finite(value)))
-        text = F.when(value.isNotNull(), F.substr(inside, F.lit(2), F.length(inside) - 2))
+        text = F.when(value.isNotNull(), json_number(value, isinstance(kind, T.FloatType)))
     elif isinstance(kind, (T.IntegralType, T.DecimalType, T.BooleanType)):
         text = value.cast("string")
     elif isinstance(kind, T.TimestampType):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,29 +19,56 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
 
 
-def shortest_general(number: Column) -> Column:
-    """A double in the fewest digits that name it, with an exponent of two digits at least below 1e-4 and from 1e6 on."""
-    text = F.abs(number).cast("string")
-    mantissa, power = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2))
-    whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
-    raw = F.concat(whole, part)
-    stripped = F.regexp_replace(raw, "^0+", "")
-    digits = F.regexp_replace(stripped, "0+$", "")
-    exponent = F.length(whole) + F.coalesce(F.nullif(power, F.lit("")).cast("int"), F.lit(0)) - (F.length(raw) - F.length(stripped)) - 1
-    n = F.length(digits)
-    size = F.abs(exponent).cast("string")
-    scientific = F.concat(
-        F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""),
-        F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size),
-    )
-    plain = (
-        F.when(exponent >= n - 1, F.concat(digits, F.repeat(F.lit("0"), exponent - n + 1)))
-        .when(exponent >= 0, F.concat(F.substr(digits, F.lit(1), exponent + 1), F.lit("."), F.substr(digits, exponent + 2)))
-        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
-    )
-    sign = F.when(number.cast("string").startswith("-"), "-").otherwise("")  # a zero may have one too
-    body = F.when(F.isnan(number), "NaN").when(text == "Infinity", "Inf").when(text == "0.0", "0").when((exponent < -4) | (exponent >= 6), scientific).otherwise(plain)
-    return F.when(text == "Infinity", F.concat(F.when(number < 0, "-").otherwise("+"), F.lit("Inf"))).otherwise(F.concat(F.when(F.isnan(number), "").otherwise(sign), body))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def shortest(number: Column, low: int = -4, high: int = 6) -> Column:
+    """A double in the fewest digits that name it, with an exponent of two digits at least below 10**low and from 10**high on."""
+    text = number.cast("string")
+    usual = (F.abs(number) >= 1e-3) & (F.abs(number) < 10.0 ** min(high, 7))  # of which Java's text has no exponent
+    cut = F.when(text.endswith(".0"), F.left(text, F.length(text) - 2)).otherwise(text)
+    return F.when(usual, cut).when(text == "0.0", "0").otherwise(_spelled(number, low, high))
+
+
+def _spelled(number: Column, low: int, high: int) -> Column:
+    """The general case, from the shortest of 15, 16 and 17 digits that is read as the same double."""
+
+    def parts(t: Column) -> Column:
+        mantissa, power = F.split_part(t, F.lit("e"), F.lit(1)), F.split_part(t, F.lit("e"), F.lit(2))
+        return F.struct(F.split_part(mantissa, F.lit("."), F.lit(1)).alias("whole"), F.replace(mantissa, F.lit("."), F.lit("")).alias("raw"), F.coalesce(F.nullif(power, F.lit("")).cast("int"), F.lit(0)).alias("power"))
+
+    def digits(p: Column) -> Column:
+        stripped = F.regexp_replace(p["raw"], "^0+", "")
+        exponent = F.length(p["whole"]) + p["power"] - (F.length(p["raw"]) - F.length(stripped)) - 1
+        return F.struct(F.regexp_replace(stripped, "0+$", "").alias("digits"), exponent.alias("exponent"))
+
+    def spelled(d: Column) -> Column:
+        ds, exponent = d["digits"], d["exponent"]
+        n, size = F.length(ds), F.abs(exponent).cast("string")
+        scientific = F.concat(
+            F.substring(ds, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substr(ds, F.lit(2)))).otherwise(""),
+            F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size),
+        )
+        plain = (
+            F.when(exponent >= n - 1, F.concat(ds, F.repeat(F.lit("0"), exponent - n + 1)))
+            .when(exponent >= 0, F.concat(F.substr(ds, F.lit(1), exponent + 1), F.lit("."), F.substr(ds, exponent + 2)))
+            .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), ds))
+        )
+        return F.when(n == 0, "0").when((exponent < low) | (exponent >= high), scientific).otherwise(plain)
+
+    def signed(x: Column) -> Column:
+        t = x.cast("string")
+        sign = F.when(t.startswith("-"), "-").otherwise("")  # a zero may have one too
+        written = [F.format_string(f"%.{k}e", F.abs(x)) for k in (14, 15, 16)]
+        down = F.concat(F.left(written[2], F.lit(17)), F.substr(written[2], F.lit(19)))  # Java rounds its own digits, which may be rounded up already
+        same = [w.cast("double") == F.abs(x) for w in (*written, down)]
+        exact = F.when(same[0], written[0]).when(same[1], written[1]).when(same[3], down).otherwise(written[2])
+        finite = F.concat(sign, _let(_let(_let(exact, parts), digits), spelled))
+        return F.when(t == "NaN", "NaN").when(t == "Infinity", "+Inf").when(t == "-Infinity", "-Inf").otherwise(finite)
+
+    return F.when(number.isNotNull(), _let(number, signed))
 
 
 def render(value: Column, kind: T.DataType) -> Column:
@@ -47,9 +76,9 @@ def render(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.BooleanType)):
         text = value.cast("string")
     elif isinstance(kind, T.DoubleType):
-        text = shortest_general(value)
+        text = shortest(value)
     elif isinstance(kind, T.FloatType):
-        text = shortest_general(value.cast("string").cast("double"))
+        text = shortest(value.cast("string").cast("double"))
     else:
         text = escape(value.cast("string"))
     return F.coalesce(text, F.lit(NULL))
@@ -89,19 +118,28 @@ def resolve(fqtn: Column, own: Column, overrides: Mapping[str, Column]) -> Colum
     return key
 
 
+@F.arrow_udf(T.LongType())
+def _fnv1a32(texts: pa.Array) -> pa.Array:
+    """By byte position over a whole batch: the texts still that long go on, longest first."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    lengths = np.diff(offsets)
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths = offsets[:-1][order], lengths[order]
+    h = np.full(len(order), 2166136261, np.uint32)
+    there = len(order)
+    for k in range(int(lengths[0]) if len(lengths) else 0):
+        there = int(np.searchsorted(-lengths[:there], -k, "left"))
+        h[:there] = (h[:there] ^ data[starts[:there] + k]) * np.uint32(16777619)
+    out = np.empty(len(order), np.int64)
+    out[order] = h
+    return pa.array(out, mask=texts.is_null().to_numpy(zero_copy_only=False))
+
+
 def fnv1a32(text: Column) -> Column:
-    """FNV-1a, 32 bits, of the UTF-8 bytes."""
-    data, n = F.encode(text, "UTF-8"), F.octet_length(text)
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-
-    def over(byte) -> Column:
-        step = lambda h, i: (h.bitwiseXOR(byte(i)) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.aggregate(places, F.lit(2166136261).cast("long"), step)
-
-    # a character is a byte in the usual case, and its code is had without the detour over hex digits
-    by_character = over(lambda i: F.ascii(F.substr(text, i, F.lit(1))).cast("long"))
-    by_byte = over(lambda i: F.conv(F.hex(F.substr(data, i, F.lit(1))), 16, 10).cast("long"))
-    return F.when(F.length(text) == n, by_character).otherwise(by_byte)
+    """FNV-1a, 32 bits, of the UTF-8 bytes. An Arrow function: Spark has no loop over bytes that it compiles."""
+    return _fnv1a32(text)
 
 
 def queue_of(key: Column, queues: int) -> Column:

@@ -12,9 +12,22 @@ def queue_depths(rows: DataFrame, queue: str = "queue") -> DataFrame:
     return rows.groupBy(queue).agg(F.count(F.lit(1)).alias("depth"))
 
 
-def publish_batches(rows: DataFrame, most: int, queue: str = "queue", order: str = "seq_no", part: str = "file") -> DataFrame:
-    """rows with batch: queues are drained in order, `most` rows a batch."""
-    return ordinal(rows, "_k", order, [queue], part).withColumn("batch", F.floor((F.col("_k") - 1) / most)).drop("_k")
+#: Rows of a queue that are handed over together, as a micro-batch.
+FLUSH = 256
+
+
+def batch_rows(most: int, flush: int = FLUSH) -> int:
+    """Rows of a full publish batch: whole micro-batches, as many as reach `most`."""
+    return -(-most // flush) * flush
+
+
+def publish_batches(rows: DataFrame, most: int, flush: int = FLUSH, queue: str = "queue", order: str = "seq_no", part: str = "file", counted: DataFrame | None = None) -> DataFrame:
+    """rows with batch: a queue's rows wait in micro-batches of `flush`, and whole ones are drained until a batch has `most` rows or more.
+
+    `counted` may give the same rows' queues and parts by a shorter plan.
+    """
+    placed = ordinal(rows, "_k", order, [queue], part, counted)
+    return placed.withColumn("batch", F.floor((F.col("_k") - 1) / batch_rows(most, flush))).drop("_k")
 
 
 def drained(micro_batches: list[int], most: int) -> list[int]:

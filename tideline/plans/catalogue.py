@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions import envelope, gtids, keys, tables
 from tideline.operators import audits, batching, checkpoints, counters, gtid_sets, ordering, rows, schemas
 from tideline.plans import decode
-from tideline.sources import fixture
+from tideline.sources import captured, fixture
 
 INCLUDE, EXCLUDE = ("shop.users", "shop.*_price", "shop.views"), ("shop.tmp_*",)
 QUEUES, BATCH = 8, 500
@@ -64,6 +64,25 @@ def log_scan(spark, d):
     return fixture.raw_log(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""with {log}, parts as (select log_seq, 'gtid' k from log where tx_order = 1 union all select log_seq, case op when 'c' then 'write' when 'd' then 'delete' else 'update' end from log
+  union all select log_seq, 'xid' from log where tx_order = 4 union all select log_seq, 'rotate' from log where pos = 250000) select k as kind, count(*) as n from parts group by k""")
+def captured_scan(spark, d):
+    """The same from a captured log: the records as files of JSON lines, read again by the source."""
+    at = captured.shared_folder(spark)
+    captured.save(fixture.raw_log(spark, d), at)
+    return captured.load(spark, at).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("with {log} select 'cdc.shop.' || tbl as topic, key, {envelope} as value, seq_no from kept")
+def captured_records(spark, d):
+    """From a captured log to what a sink gets."""
+    at = captured.shared_folder(spark)
+    captured.save(fixture.raw_log(spark, d), at)
+    events = decode.change_events(captured.load(spark, at), fixture.schema_versions(spark), INCLUDE, EXCLUDE, queues=QUEUES)
+    r = decode.sink_records(events)
+    return r.select("topic", F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"), "seq_no")
+
+
 @query("with {log} select op, count(*) as n from log group by op")
 def op_counts(spark, d):
     return audits.op_counts(fixture.raw_log(spark, d).withColumn("op", gtids.op_of(F.col("kind"))).where("op is not null"))
@@ -249,18 +268,11 @@ def entity_key(spark, d):
     return _events(spark, d).select((F.floor(F.col("log_seq") / 4) + 1).alias("log_seq"), "key")
 
 
-@query(r"""select doc_id, 'db.t|' || coalesce(replace(replace(case when doc_id % 3 = 0 then left(text, 40) || '|a\b' when doc_id % 3 = 1 then text end, '\', '\\'), '|', '\|'), '\N') as key from documents""")
+@query(r"""with d as (select doc_id, replace(replace(text, '\', '\\'), '|', '\|') as v from documents) select doc_id, 'db.t|\N|' || coalesce(v || '\|a\\b', '\N') || '|' || coalesce(v, '\N') as key from d""")
 def key_escape(spark, d):
-    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.left("text", F.lit(40)), F.lit("|a\\b"))).when(F.col("doc_id") % 3 == 1, F.col("text"))
-    docs = _tpch(spark, d, "documents").select("doc_id", text.alias("v"))
-    return docs.select("doc_id", keys.key_of_row(docs.schema, F.lit("db.t"), ["v"]).alias("key"))
-
-
-@query()
-def key_escape_whole(spark, d):
     """Every document by its whole text, by the text with a bar and a backslash after it, and by a null."""
     docs = _tpch(spark, d, "documents").select("doc_id", F.col("text").alias("v"), F.concat("text", F.lit("|a\\b")).alias("suffixed"), F.lit(None).cast("string").alias("none"))
-    return docs.select("doc_id", keys.key_of_row(docs.schema, F.lit("db.t"), ["v", "suffixed", "none"]).alias("key"))
+    return docs.select("doc_id", keys.key_of_row(docs.schema, F.lit("db.t"), ["none", "suffixed", "v"]).alias("key"))
 
 
 @query("""select o_orderkey, 'shop.orders|' || o_custkey || '|' || o_orderkey as key, 'shop.orders|' || o_orderkey || '|\\N' as key_missing from orders""".replace("\\\\N", "\\N"))
@@ -272,10 +284,14 @@ def key_override(spark, d):
     return o.select("o_orderkey", overridden.alias("key"), keys.key_of_row(o.schema, fqtn, ["o_orderkey", "nope"]).alias("key_missing"))
 
 
-@query("""select 'shop.lines|' || l_linenumber || '|' || l_orderkey || '|' || l_partkey || '|' || l_returnflag || '|' || l_suppkey as key, count(*) as n from lineitem group by 1""")
+_PLAIN = lambda c: f"regexp_replace({c}::varchar, '[.]0$', '')"
+
+
+@query(f"""select 'shop.lines|' || {_PLAIN('l_discount')} || '|' || {_PLAIN('l_extendedprice')} || '|' || l_linenumber || '|' || l_linestatus || '|' || l_orderkey || '|' || l_partkey || '|' || {_PLAIN('l_quantity')} || '|' || l_returnflag
+  || '|' || l_shipdate::date || '|' || l_suppkey || '|' || {_PLAIN('l_tax')} as key, count(*) as n from lineitem group by 1""")
 def keyless_key(spark, d):
     """A table without a primary key: all columns, by name."""
-    li = _tpch(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    li = _tpch(spark, d, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
     return li.select(keys.key_of_row(li.schema, F.lit("shop.lines")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -303,9 +319,11 @@ def queue_order(spark, d):
     return ordering.ordinal(_events(spark, d), "place", "seq_no", ["queue"]).select("queue", "seq_no", "place")
 
 
-@query("with {log}, " + _QUEUED + ", n as (select *, row_number() over (partition by queue order by seq_no) as k from q) select queue, (k - 1) // 500 as batch, count(*) as n, min(seq_no) as first_seq, max(seq_no) as last_seq from n group by 1, 2")
+@query("with {log}, " + _QUEUED + ", n as (select *, row_number() over (partition by queue order by seq_no) as k from q) select queue, (k - 1) // 512 as batch, count(*) as n, min(seq_no) as first_seq, max(seq_no) as last_seq from n group by 1, 2")
 def publish_batches(spark, d):
-    b = batching.publish_batches(_events(spark, d), BATCH)
+    """Whole micro-batches of 256 rows, drained until a batch has 500 or more."""
+    counted = decode.queued(fixture.raw_log(spark, d), fixture.schema_versions(spark), INCLUDE, EXCLUDE, queues=QUEUES)
+    b = batching.publish_batches(_events(spark, d), BATCH, counted=counted)
     return b.groupBy("queue", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("seq_no").alias("first_seq"), F.max("seq_no").alias("last_seq"))
 
 
@@ -323,6 +341,13 @@ def row_json(spark, d):
     return docs.select("doc_id", envelope.row_object(docs.schema).alias("row_json"))
 
 
+@query(f"""select event_id, '{{"large":' || {_PLAIN('(value * 1e6)')} || ',"negative":' || {_PLAIN('(-value)')} || ',"value":' || {_PLAIN('value')} || ',"whole":' || {_PLAIN('round(value)')} || '}}' as row_json from events""")
+def float_json(spark, d):
+    """Numbers with a fraction, in the fewest digits and without an exponent; whole ones without a point."""
+    e = fixture.events(spark, d).select("event_id", (F.col("value") * 1e6).alias("large"), (-F.col("value")).alias("negative"), "value", F.round("value").alias("whole"))
+    return e.select("event_id", envelope.row_object(e.drop("event_id").schema).alias("row_json"))
+
+
 @query(r"""with {log} select log_seq, '{"connector":"mysql"' || case when log_seq % 2 = 0 then ',"server_id":1' else '' end || ',"db":"shop","table":"' || tbl || '"' || case when log_seq % 3 = 0 then ',"gtid":"' || uuid || ':' || gno || '"' else '' end || ',"file":"' || file || '"' || case when log_seq % 5 = 0 then ',"pos":' || pos else '' end || ',"tx_order":' || tx_order || '}' as source_json from log""")
 def source_json(spark, d):
     """Parts that are zero or empty are left out."""
@@ -501,13 +526,7 @@ def source_lag(spark, d):
     return log.crossJoin(F.broadcast(now)).select("log_seq", counters.lag_seconds(F.col("now"), F.unix_millis("occurred_at")).alias("lag_seconds"))
 
 
-@query(r"select doc_id, case when strlen(text) > 20 then left(text, 20) || '...' else text end as line from documents where lang = 'en' and regexp_full_match(left(text, 20), '[\x20-\x7e\n]*')")
+@query("""select doc_id, case when strlen(text) > 20 then left(text, list_max(list_filter(range(0, 21), lambda k: strlen(left(text, k)) <= 20))) || '...' else text end as line from documents""")
 def truncated_text(spark, d):
-    docs = _tpch(spark, d, "documents").where("lang = 'en'").where(F.left("text", F.lit(20)).rlike(r"^[\x20-\x7e\n]*$"))
-    return docs.select("doc_id", tables.truncated(F.col("text"), 20).alias("line"))
-
-
-@query()
-def truncated_every_text(spark, d):
-    """Every document, of any language."""
+    """Every document, of any language, cut to 20 bytes between code points."""
     return _tpch(spark, d, "documents").select("doc_id", tables.truncated(F.col("text"), 20).alias("line"))

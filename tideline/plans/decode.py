@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions import envelope, gtids, keys, tables
@@ -40,14 +41,12 @@ def change_events(log: DataFrame, versions: DataFrame, include: Sequence[str] =
     images = schemas.asof(images.withColumn("current", values), versions, F.size("current"))
     images = images.withColumn("schema", F.coalesce("schema", F.raise_error(F.concat(F.lit("table not found: "), fqtn)).cast(images.schema["schema"].dataType)))
     names, kinds = F.col("schema.columns"), F.col("schema.kinds")
-    key_for = lambda wanted: keys.key_of_arrays(fqtn, names, kinds, F.col("current"), wanted)
-    overrides = {t: key_for(F.array(*map(F.lit, c))) for t, c in (key_overrides or {}).items()}
     source = F.struct(
         F.lit(CONNECTOR).alias("connector"), "server_id", "db", "table", "gtid", "file", "pos", "tx_order",
     )
     uuid = F.regexp_extract("gtid", "^(.*):[0-9]+$", 1)
     position = F.struct(gtid_sets.prefix_text(uuid, F.col("committed_gno")).alias("gtid_set"), F.col("committed_file").alias("file"), F.col("committed_pos").alias("offset"), "seq_no")
-    key = keys.resolve(fqtn, key_for(F.col("schema.pk")), overrides)
+    key = _key(fqtn, key_overrides)
     found = images.select(
         gtids.event_id(F.col("gtid"), F.col("tx_order"), F.col("file"), F.col("pos"), F.col("row_index")).alias("id"), "op",
         envelope.object_of_arrays(names, kinds, F.col("before")).alias("before"), envelope.object_of_arrays(names, kinds, F.col("after")).alias("after"),
@@ -56,13 +55,50 @@ def change_events(log: DataFrame, versions: DataFrame, include: Sequence[str] =
     return found.withColumn("queue", keys.queue_of(F.col("key"), queues))
 
 
+def queued(log: DataFrame, versions: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), key_overrides: Mapping[str, Sequence[str]] | None = None, queues: int = 8) -> DataFrame:
+    """file, queue of the change events, without their order: nothing moves but the layouts."""
+    fqtn = tables.fqtn()
+    images = rows.row_images(log.select("log_seq", "file", "kind", "db", "table", "rows")).where(tables.captured(fqtn, include, exclude))
+    images = schemas.asof(images.withColumn("current", rows.current_image(F.col("op"), F.col("before"), F.col("after"))), versions, F.size("current"))
+    return images.select("file", keys.queue_of(_key(fqtn, key_overrides), queues).alias("queue"))
+
+
+def _key(fqtn: Column, key_overrides: Mapping[str, Sequence[str]] | None) -> Column:
+    """The key of a row with its schema and its values as `current`."""
+    of = lambda wanted: keys.key_of_arrays(fqtn, F.col("schema.columns"), F.col("schema.kinds"), F.col("current"), wanted)
+    overrides = {t: of(F.array(*map(F.lit, c))) for t, c in (key_overrides or {}).items()}
+    return keys.resolve(fqtn, of(F.col("schema.pk")), overrides)
+
+
 def payloads(events: DataFrame) -> DataFrame:
     """events with payload: the envelope."""
-    text = envelope.envelope(F.col("id"), F.col("op"), F.col("before"), F.col("after"), envelope.source_object(), F.col("occurred_at"))
-    return events.withColumn("payload", text)
+    return events.withColumn("payload", _envelope())
+
+
+def _envelope() -> Column:
+    return envelope.envelope(F.col("id"), F.col("op"), F.col("before"), F.col("after"), envelope.source_object(), F.col("occurred_at"))
+
+
+class Serializer(Protocol):
+    """What a sink's key and value are, from the columns of change_events(), as binary columns."""
+
+    def key(self) -> Column: ...
+
+    def value(self) -> Column: ...
+
+
+class JsonSerializer:
+    """The entity key and the envelope, as UTF-8."""
+
+    def key(self) -> Column:
+        return F.encode("key", "UTF-8")
+
+    def value(self) -> Column:
+        return F.encode(_envelope(), "UTF-8")
 
 
-def sink_records(events: DataFrame, template: str = "cdc.{database}.{table}", overrides: Mapping[str, str] | None = None) -> DataFrame:
-    """topic, key, value of each event, with seq_no, queue and file for order."""
+def sink_records(events: DataFrame, template: str = "cdc.{database}.{table}", overrides: Mapping[str, str] | None = None, serializer: Serializer | None = None) -> DataFrame:
+    """topic, key, value of each event, with seq_no, queue and file for order. JSON unless another serializer is given."""
     topic = tables.topic(F.col("source.db"), F.col("source.table"), template, overrides)
-    return payloads(events).select(topic.alias("topic"), F.encode("key", "UTF-8").alias("key"), F.encode("payload", "UTF-8").alias("value"), "id", "seq_no", "queue", "file")
+    form = serializer or JsonSerializer()
+    return events.select(topic.alias("topic"), form.key().alias("key"), form.value().alias("value"), "id", "seq_no", "queue", "file")

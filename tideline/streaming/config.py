@@ -91,7 +91,7 @@ def build(spark: SparkSession, definition: dict[str, Any], checkpoint_dir: str)
     batch, target = _get(pipeline, "batch", {}), kafka or files
     try:
         codec = _get(target, "compression", "")
-        sink = KafkaSink(_get(target, "brokers", []), codec) if kafka else FileSink(_get(target, "path", ""), codec)
+        sink = KafkaSink(_get(target, "brokers", []), codec, max_inflight=_get(target, "maxInflightBatches", 0)) if kafka else FileSink(_get(target, "path", ""), codec)
         kind = _get(state, "store", "table")
         if kind == "file":
             store = FileStore(_get(state, "dir", ""))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.gtids import format_sid
-from tideline.operators import gtid_sets
+from tideline.operators import batching, gtid_sets
 from tideline.plans import decode
 from tideline.streaming.sinks import Sink
 from tideline.streaming.stores import Position, Store
@@ -47,6 +47,7 @@ class FlowSpec:
     commit_interval_ms: int = 0
     shutdown_timeout_s: float = 0
     gtid: bool = True
+    serializer: decode.Serializer | None = None
 
     def __post_init__(self):
         if not self.id:
@@ -60,6 +61,11 @@ class FlowSpec:
         self.commit_interval_ms = self.commit_interval_ms if self.commit_interval_ms > 0 else 1000
         self.shutdown_timeout_s = self.shutdown_timeout_s if self.shutdown_timeout_s > 0 else 30.0
 
+    @property
+    def batch_rows(self) -> int:
+        """Rows of a full publish batch."""
+        return batching.batch_rows(self.batch_max_size, min(batching.FLUSH, self.queue_capacity))
+
     @property
     def max_events(self) -> int:
         """What a micro-batch may hold: all queues full."""
@@ -73,7 +79,7 @@ class Flow:
         self.spark, self.spec, self.sink, self.store = spark, spec, sink, store
         self.state, self.last_error, self.published, self.save_failures, self.last_event_ms = CREATED, "", 0, 0, 0
         self.persisted, self.tracker, self.queue_depths = Position(), Tracker(), []
-        self._seq, self._query, self._stop, self._last_save = 0, None, threading.Event(), 0.0
+        self._seq, self._query, self._stop, self._hard, self._last_save = 0, None, threading.Event(), threading.Event(), 0.0
 
     @property
     def id(self) -> str:
@@ -98,10 +104,12 @@ class Flow:
             raise
         self.state = STOPPED
 
-    def stop(self) -> None:
-        """Asks for a graceful stop: the micro-batch in flight is finished."""
+    def stop(self, hard: bool = False) -> None:
+        """Asks for a graceful stop: the micro-batch in flight is finished. A hard one cuts it off; it comes again in the next run."""
         if self.state in (STARTING, RUNNING):
             self.state = STOPPING
+        if hard:
+            self._hard.set()
         self._stop.set()
 
     def _run(self, available_now: bool) -> None:
@@ -109,6 +117,9 @@ class Flow:
 
         captured.register(self.spark)
         self._stop.clear()
+        self._hard.clear()
+        self.sink.reset()
+        self.sink.batch_rows = self.spec.batch_rows
         saved = self.store.load(self.id)
         self.persisted, self._resumed, self.tracker, self._seq, self._last_save = saved, saved, Tracker(), 0, time.monotonic()
         if self.spec.gtid and not saved.is_zero and not saved.gtid_set:
@@ -123,6 +134,8 @@ class Flow:
                     self._commit(False)
                 if self._stop.is_set() and query.isActive:
                     self._drain(query)
+                if self._hard.is_set():
+                    break
                 if (error := query.exception()) is not None:
                     raise RuntimeError(str(error))
                 # a bounded run admits one batch of the source's size at a time
@@ -153,11 +166,11 @@ class Flow:
         return json.loads(last[0].value) if last else None
 
     def _drain(self, query) -> None:
-        """Lets the micro-batch in flight end within the timeout, then stops the query."""
+        """Lets the micro-batch in flight end within the timeout (unless the stop is hard), then stops the query; one that won't stop is abandoned."""
         until = time.monotonic() + self.spec.shutdown_timeout_s
-        while query.isActive and query.status["isTriggerActive"] and time.monotonic() < until:
+        while query.isActive and query.status["isTriggerActive"] and time.monotonic() < until and not self._hard.is_set():
             time.sleep(0.02)
-        late = query.isActive and query.status["isTriggerActive"]
+        late = query.isActive and query.status["isTriggerActive"] and not self._hard.is_set()
         stopper = threading.Thread(target=query.stop, daemon=True)
         stopper.start()
         stopper.join(2 * self.spec.shutdown_timeout_s)
@@ -174,7 +187,7 @@ class Flow:
         elif not spec.gtid and saved.file:
             skip["after"] = (saved.file, saved.offset)
         events = decode.change_events(log, versions, spec.include, spec.exclude, spec.key_overrides, spec.queues, **skip)
-        records = decode.sink_records(events, spec.topic_template, spec.topic_overrides).persist()
+        records = decode.sink_records(events, spec.topic_template, spec.topic_overrides, spec.serializer).persist()
         try:
             ends = log.where("kind in ('xid', 'query')").agg(F.max_by(F.struct("file", "pos"), "log_seq").alias("at"), F.count(F.lit(1)).alias("n"))
             done = log.where("kind = 'gtid'").select(F.lower(F.hex("sid")).alias("uuid"), "gno")

@@ -34,6 +34,12 @@ class Store(Protocol):
     def save(self, flow_id: str, position: Position) -> None: ...
 
 
+def _safe(flow_id: str) -> str:
+    if not re.fullmatch(r"[\w.-]+", flow_id) or flow_id.startswith("."):
+        raise ValueError(f"not a flow id: {flow_id!r}")
+    return flow_id
+
+
 class FileStore:
     """A JSON file a flow, replaced in one step."""
 
@@ -44,9 +50,7 @@ class FileStore:
         self.folder, self.lock = folder, threading.Lock()
 
     def _path(self, flow_id: str) -> str:
-        if not re.fullmatch(r"[\w.-]+", flow_id) or flow_id.startswith("."):
-            raise ValueError(f"not a flow id: {flow_id!r}")
-        return os.path.join(self.folder, f"{flow_id}.json")
+        return os.path.join(self.folder, f"{_safe(flow_id)}.json")
 
     def load(self, flow_id: str) -> Position:
         with self.lock:
@@ -67,25 +71,43 @@ class FileStore:
 
 
 class TableStore:
-    """The flow_state table on any storage that Spark writes: each save adds one row, the last row of a flow holds."""
+    """The flow_state table on any storage that Spark writes, a partition a flow: a save puts the next version there and then removes older ones."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.lock = spark, path, threading.Lock()
+        self.spark, self.path, self.lock = spark, path.rstrip("/"), threading.Lock()
+        self.next: dict[str, int] = {}
+
+    def _at(self, flow_id: str) -> str:
+        return f"{self.path}/flow_id={_safe(flow_id)}"
+
+    def _versions(self, flow_id: str) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self._at(flow_id))
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return []
+        done = [f.getPath() for f in fs.listStatus(at) if fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+        return sorted(int(p.getName().split("=")[1]) for p in done)
 
     def load(self, flow_id: str) -> Position:
         with self.lock:
-            try:
-                rows = self.spark.read.schema(FLOW_STATE).parquet(self.path)
-            except Exception as e:
-                if "PATH_NOT_FOUND" in str(e):
-                    return Position()
-                raise
-            last = rows.where(rows.flow_id == flow_id).orderBy(rows.updated_at.desc()).limit(1).collect()
-            return Position(last[0].gtid_set or "", last[0].binlog_file or "", last[0].binlog_pos or 0, last[0].seq_no or 0) if last else Position()
+            versions = self._versions(flow_id)
+            if not versions:
+                return Position()
+            row = self.spark.read.schema(FLOW_STATE).parquet(f"{self._at(flow_id)}/version={versions[-1]}").first()
+            return Position(row.gtid_set or "", row.binlog_file or "", row.binlog_pos or 0, row.seq_no or 0)
 
     def save(self, flow_id: str, position: Position) -> None:
         from datetime import datetime, timezone
 
         with self.lock:
+            if flow_id not in self.next:
+                self.next[flow_id] = (self._versions(flow_id) or [0])[-1] + 1
+            version = self.next[flow_id]
             row = (flow_id, position.gtid_set, position.file, position.offset, position.seq_no, datetime.now(timezone.utc))
-            self.spark.createDataFrame([row], FLOW_STATE).coalesce(1).write.mode("append").parquet(self.path)
+            self.spark.createDataFrame([row], FLOW_STATE).coalesce(1).write.mode("overwrite").parquet(f"{self._at(flow_id)}/version={version}")
+            self.next[flow_id] = version + 1
+            jvm = self.spark.sparkContext._jvm
+            for old in self._versions(flow_id)[:-1]:
+                at = jvm.org.apache.hadoop.fs.Path(f"{self._at(flow_id)}/version={old}")
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
