@@ -40,21 +40,33 @@ def test_exact_dedup(spark, digest):
     assert sum(r.kept for r in got) == len({re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t, _ in TEXTS})
 
 
-def test_dedup_state_goes_on(spark, tmp_path):
-    """A second run with the same folders takes up new files and keeps what it knew."""
-    first = exact_dedup.feed_of(docs_of(spark, TEXTS[:3]))
-    path = f"file://{tmp_path}"
-    for k, part in enumerate((TEXTS[:3], TEXTS[8:10])):
-        exact_dedup.feed_of(docs_of(spark, part)).write.mode("append").parquet(f"{path}/feed")
-        state = exact_dedup.run_state(spark, f"{path}/feed", first.schema, f"{path}/out", f"{path}/state", 1)
-        sizes = sorted(r.group_size for r in state.collect())
-        assert sizes == ([3] if k == 0 else [5])
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda c: F.substring(exact_dedup.sha256(c), 1, 1)])
+def test_dedup_state_goes_on(spark, tmp_path, digest):
+    """A later call meets the rows of earlier ones, through a state that stays and texts that are read where they lie."""
+    parts = [TEXTS[:4], TEXTS[4:9], [(20, "a  b ", "s"), (21, "x" * 200_000, "t"), (22, "new", "u"), (23, "é", "u")]]
+    for k, part in enumerate(parts):
+        docs_of(spark, part).coalesce(1).write.parquet(f"{tmp_path}/{k}")
+        got = exact_dedup.dedup(spark.read.parquet(f"{tmp_path}/{k}"), digest, f"file://{tmp_path}/kept").orderBy("row_no").collect()
+        so_far = [r for p in parts[: k + 1] for r in p]
+        want = expected(so_far)
+        first = len(so_far) - len(part)
+        assert [(r.doc_id, r.keep_id, r.group_size) for r in got] == [(so_far[first + j][0], *want[first + j][:2]) for j in range(len(part))]
+
+
+def test_nothing_of_python_runs_in_dedup(spark, sf, capsys):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    exact_dedup.dedup(docs).explain("formatted")
+    exact_dedup.deduplicated(docs).explain("formatted")
+    said = capsys.readouterr().out
+    assert "Scan parquet" in said and not any(w in said for w in ("Python", "Arrow", "Pandas", "ExistingRDD"))
 
 
 def test_deduplicated_rows(spark):
     kept = exact_dedup.deduplicated(docs_of(spark, [*TEXTS[:3], *TEXTS[9:]]))
     assert kept.columns == [c.split()[0] for c in KIND.split(", ")]
     assert sorted(r.doc_id for r in kept.collect()) == [9, 10, 11]
+    odd = docs_of(spark, [(None, "q r", "s")] * 3 + [(4, "one", "s"), (4, "two", "s")]).withColumn("_metadata", F.lit(1))
+    assert sorted(map(str, exact_dedup.deduplicated(odd).select("doc_id", "text", "_metadata").collect())) == sorted(map(str, odd.distinct().select("doc_id", "text", "_metadata").collect()))
     assert exact_dedup.deduplicated(docs_of(spark, TEXTS).limit(0)).count() == 0
 
 

@@ -19,7 +19,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("row_no")
+    return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("located_in", "row_no", "place")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
