@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from tideline.llm.common import table, work_dir, written
+from tideline.llm.common import removed, table, work_dir, written
 
 #: Words of a bin.
 CAPACITY = 2048
@@ -56,4 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"{at}/{k}-{name}")
+            if k:  # the stage before it is read no more
+                removed(spark, f"{at}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

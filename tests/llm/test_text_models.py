@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import string
 import zlib
 from collections import Counter
@@ -64,6 +65,63 @@ def test_toxicity_without_labels(spark, world):
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
+def test_long_texts_have_the_same_ngrams(monkeypatch):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcé \U0001f600") for _ in range(3000))
+    whole = toxicity.ngrams(text)
+    for window in (1, 7, 100, 2999, 3000, 3002, 4000):
+        monkeypatch.setattr(toxicity, "WINDOW", window)
+        assert toxicity.ngrams(text).tolist() == whole.tolist()
+
+
+def brute_toxicity(rows, learn):
+    """Naive Bayes ratios and weights of a logistic regression, from sets of strings; the fit is the module's, which another test checks."""
+    points = lambda t: f" {t.lower()} "
+
+    def buckets(t):
+        out, mask = set(), (1 << 64) - 1
+        p = [ord(c) if not 9 <= ord(c) <= 13 else 32 for c in points(t)]
+        for n in (3, 4, 5):
+            for k in range(len(p) - n + 1):
+                h = p[k]
+                for x in p[k + 1 : k + n]:
+                    h = (h * 0x9E3779B97F4A7C15 & mask) ^ x
+                out.add((h ^ (h >> 29)) * 0x9E3779B97F4A7C15 % 2**64 >> 46)
+        return out
+
+    sets = {i: buckets(t) for i, t, *_ in rows}
+    by_text = {}
+    for i, t, _, label in rows:
+        if i in learn and re.sub(r"[\x20\x09-\x0D]", "", t) not in by_text:
+            by_text[re.sub(r"[\x20\x09-\x0D]", "", t)] = (i, label)
+    chosen = list(by_text.values())
+    pos, neg = sum(x for _, x in chosen), sum(1 - x for _, x in chosen)
+    counts = {0: Counter(), 1: Counter()}
+    for i, label in chosen:
+        counts[label].update(sets[i])
+    scored = {}
+    for b in counts[0].keys() | counts[1].keys():
+        a, c = counts[1][b], counts[0][b]
+        share = (a + c) / (pos + neg)
+        z = abs(a / pos - c / neg) / (math.sqrt(share * (1 - share) * (1 / pos + 1 / neg)) + 1 / (pos + neg))
+        if a + c >= 3 and z >= 3.5:
+            scored[b] = math.log((a + 0.5) / (pos + 1)) - math.log((c + 0.5) / (neg + 1))
+    names = sorted(scored)
+    place = {b: k for k, b in enumerate(names)}
+    r, c = zip(*[(k, place[b]) for k, (i, _) in enumerate(chosen) for b in sets[i] if b in place], strict=True)
+    w, bias = toxicity.fit_weights(np.array(r), np.array(c), np.array([scored[b] for b in names]), np.array([x for _, x in chosen], float))
+    return {i: 1 / (1 + math.exp(-(bias + sum(w[place[b]] for b in s if b in place)))) for i, s in sets.items()}
+
+
+def test_toxicity_by_brute_force(spark, world):
+    rows, _, labels = world
+    rows = rows[:240]
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in toxicity.classify(docs, labels.where("doc_id < 240 and toxic is not null")).collect()}
+    want = brute_toxicity(rows, {i for i, *_ in rows if i % 3 and zlib.crc32(str(i).encode()) % 5})
+    assert max(abs(got[i] - want[i]) for i in got) < 1e-6 and len(got) == 240
+
+
 def test_weights_separate():
     rows, cols = np.array([0, 0, 1, 2, 2, 3]), np.array([0, 1, 1, 0, 2, 2])
     w, b = toxicity.fit_weights(rows, cols, np.array([2.0, 0.1, -1.0]), np.array([1.0, 0, 1, 0]), 0.01)

@@ -150,10 +150,13 @@ class Lexicon:
 
     def fingerprint(self, text: str) -> np.ndarray:
         """Hashes of the whole band and of each subset, 0 for an empty one."""
-        words = set(text.split())
-        if new := [w for w in words if w not in self.places]:
-            self._learn(new if self.n + len(new) <= _KEPT else list(words))
-        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        words = list(set(text.split()))
+        places = list(map(self.places.get, words))
+        if None in places:
+            new = [w for w, k in zip(words, places, strict=True) if k is None]
+            self._learn(new if self.n + len(new) <= _KEPT else words)
+            places = list(map(self.places.__getitem__, words))
+        at = np.array(places, np.int64)
         hashes = self.hashes[at]
         found, first = np.unique(hashes, return_index=True)
         at = at[first]
@@ -169,7 +172,7 @@ class Lexicon:
         bits = self.bits[at]
         there = np.flatnonzero(bits)
         found, bits = found[there], bits[there]
-        which, word = np.nonzero((bits[None, :] >> _PLACES) & np.uint64(1))
+        which, word = np.nonzero(np.unpackbits(bits.astype("<u8").view(np.uint8).reshape(-1, 8).T, axis=0, bitorder="little"))
         sequence, ends = found[word].tobytes(), 8 * np.searchsorted(which, np.arange(len(_SEEDS)), "right")
         start = 0
         for k, end in enumerate(ends.tolist(), 1):

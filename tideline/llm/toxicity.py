@@ -21,19 +21,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import normalised, text_of
+from tideline.llm.common import least, normalised, text_of
 
 TRAIN_ROWS = 8000
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 18
 KEPT = 8192
 LEAST_Z = 3.5
+WINDOW = 1 << 18  # code points that are hashed at a time
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def ngrams(text: str) -> np.ndarray:
-    """The hash buckets of all n-grams of the text in lower case, with a space at either end."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    """The distinct hash buckets of all n-grams of the text in lower case, with a space at either end. Long texts are read in overlapping windows."""
+    whole, more = f" {text.lower()} ", max(SIZES) - 1
+    if len(whole) <= WINDOW + more:
+        return np.unique(_ngrams(whole))
+    return np.unique(np.concatenate([np.unique(_ngrams(whole[k : k + WINDOW + more])) for k in range(0, len(whole), WINDOW)]))
+
+
+def _ngrams(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     points[(points >= 9) & (points <= 13)] = 32
     out, h = [], points
     for n in range(2, max(SIZES) + 1):
@@ -70,7 +78,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, BUCKETS), np.int32)
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[label, np.unique(ngrams(text))] += 1
+            counts[label, ngrams(text)] += 1
     there = np.flatnonzero(counts.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(counts[1, there].astype(np.int64)), pa.array(counts[0, there].astype(np.int64))], names=["bucket", "pos", "neg"])
 
@@ -101,7 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Learns from `labels` (doc_id, toxic): no more than `most` rows of them, chosen by hash, whose remainder is not 0."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     usable = usable.where(remainder(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    usable = usable.withColumn("h", F.xxhash64("doc_id"))
+    chosen = usable.join(F.broadcast(least(usable.select("h"), "h", most)), "h", "left_semi").select("doc_id", "label")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(normalised()).alias("body"))
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("body").agg(F.min_by(F.struct("text", "label"), "doc_id").alias("row")).select("row.text", "row.label")
     rows = rows.persist()
