@@ -72,9 +72,9 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars(forest(held))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of the edges between different nodes; root is the least node of its component."""
-    spark, at = edges.sparkSession, work_dir(edges.sparkSession)
+def components(edges: DataFrame, at: str | None = None) -> DataFrame:
+    """(node, root) for each node of the edges between different nodes; root is the least node of its component. Tables are written to `at`."""
+    spark, at = edges.sparkSession, at or work_dir(edges.sparkSession)
     now, k = written(edges.select("u", "v").mapInArrow(_forests, STARS), f"{at}/0"), 0
     while True:
         k += 1

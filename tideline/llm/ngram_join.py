@@ -478,7 +478,7 @@ def key_of(docs: DataFrame) -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), text_of())
 
 
-def _candidates(texts: DataFrame, size: int, percent: int, at: str) -> tuple[DataFrame, DataFrame]:
+def _candidates(texts: DataFrame, size: int, percent: int, at: str, kept: str) -> tuple[DataFrame, DataFrame]:
     """The documents (_NAMED), and candidate edges between classes (STARS): at least one path joins any two that link."""
     spark = texts.sparkSession
     bytes_in = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -488,7 +488,7 @@ def _candidates(texts: DataFrame, size: int, percent: int, at: str) -> tuple[Dat
     answers = written(messages.groupBy("slot").applyInArrow(_answers, _SENT), f"{at}/answers", **_BLOBS)
     released(spark)
     chunks = answers.where("slot < 0").select("sent")
-    documents = written(chunks.mapInArrow(_named, _NAMED), f"{at}/documents")
+    documents = written(chunks.mapInArrow(_named, _NAMED), kept)
     listed = written(answers.groupBy("chunk").applyInArrow(lambda t: _prefixes(t, percent), _LISTED), f"{at}/listed")
     released(spark)
     per = {r.n: [r.sets, 0, 0] for r in documents.where(f"n between 1 and {MOST_LIGHT}").groupBy("n").agg(F.count_distinct("cls").alias("sets")).collect()}
@@ -509,10 +509,10 @@ def _candidates(texts: DataFrame, size: int, percent: int, at: str) -> tuple[Dat
 
 def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """A row per document: doc_id, key (see key_of), cls, n, root (a class of its component), component_id."""
-    at = work_dir(docs.sparkSession)
+    at, kept = work_dir(docs.sparkSession), work_dir(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of(docs).alias("key"), text_of().alias("text"))
-    documents, met = _candidates(texts, size, percent, at)
-    coarse = written(components(met), f"{at}/coarse")
+    documents, met = _candidates(texts, size, percent, at, f"{kept}/documents")
+    coarse = written(components(met, f"{at}/coarse-rounds"), f"{at}/coarse")
     # of a class, the row with the least known id
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
     classes = written(documents.where("cls is not null").groupBy("cls").agg(first, F.max("n").alias("n")).select("cls", "n", "first.doc_id", "first.key"), f"{at}/classes")
@@ -525,12 +525,13 @@ def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
     linked = cells.groupBy("cell").applyInPandas(lambda c: _checked(c, percent), "u long, v long")
     linked = written(linked if led is None else linked.unionByName(led), f"{at}/links")
     released(docs.sparkSession)
-    exact = written(components(linked), f"{at}/exact")
+    exact = written(components(linked, f"{at}/exact-rounds"), f"{at}/exact")
     rooted = classes.join(sized(exact.select(F.col("node").alias("cls"), "root")), "cls", "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
     rooted = written(rooted, f"{at}/rooted")
     tops = rooted.join(sized(written(exact.select("root").distinct(), f"{at}/roots")), "root", "left_semi").groupBy("root").agg(F.min("doc_id").alias("top"), F.lit(True).alias("several"))
     named = rooted.join(sized(written(tops, f"{at}/tops")), "root", "left")
-    named = written(named.select("cls", "root", F.when(F.col("several"), F.col("top")).otherwise(F.col("doc_id")).alias("component_id")), f"{at}/named")
+    named = written(named.select("cls", "root", F.when(F.col("several"), F.col("top")).otherwise(F.col("doc_id")).alias("component_id")), f"{kept}/named")
+    removed(docs.sparkSession, at)  # the result reads what is kept only
     with_words = documents.where("cls is not null").join(named, "cls").select("doc_id", "key", "cls", "n", "root", "component_id")
     empty = documents.where("cls is null").select("doc_id", "key", "cls", "n", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
     return with_words.unionByName(empty)
