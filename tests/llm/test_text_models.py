@@ -145,13 +145,14 @@ def test_lm_losses_are_the_models(spark, world):
             double.update(zip(w, w[1:], strict=False))
         kinds = len({w for _, t in texts for w in tokens(t)}) + 1
         total = sum(single.values())
+        size, scale = (total, 1.0) if name == "target_loss" else (size, size / total)
         for i, t, *_ in rows[:40]:
             w = tokens(t)
             loss = 0.0
             for k, x in enumerate(w):
-                p = (single[x] + 0.5) / (total + 0.5 * kinds)
-                if k and single[w[k - 1]]:
-                    p = 0.6 * double[w[k - 1], x] / single[w[k - 1]] + 0.4 * p
+                p = (scale * single[x] + 0.5) / (scale * total + 0.5 * kinds)
+                if k:
+                    p = (scale * double[w[k - 1], x] + 5 * p) / (scale * single[w[k - 1]] + 5)
                 loss -= math.log(p)
             assert abs(got[i][name] - loss / len(w)) < 1e-9 and got[i].n_tokens == len(w) - 1
     held = [(got[i].ce_difference, q) for i, _, q, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
@@ -180,12 +181,13 @@ def test_lm_counts_every_word_exactly(spark, monkeypatch):
             single.update(w)
             double.update(zip(w, w[1:], strict=False))
         total = sum(single.values())
+        size, scale = (total, 1.0) if name == "target_loss" else (size, size / total)
         for i, t in rows[:-1]:
             w, loss = [*t.split(), None], 0.0
             for k, x in enumerate(w):
-                p = (single[x] + 0.5) / (total + 0.5 * (kinds + 4))
-                if k and single[w[k - 1]]:
-                    p = 0.6 * double[w[k - 1], x] / single[w[k - 1]] + 0.4 * p
+                p = (scale * single[x] + 0.5) / (scale * total + 0.5 * (kinds + 4))
+                if k:
+                    p = (scale * double[w[k - 1], x] + 5 * p) / (scale * single[w[k - 1]] + 5)
                 loss -= math.log(p)
             assert abs(got[i][name] - loss / len(w)) < 1e-9
 

@@ -1,9 +1,10 @@
 """Cross-entropy difference of two matched n-gram models.
 
 The target model is read from documents labelled as good, the background model from all documents. Both are
-word bigram models of one form, interpolated with unigrams, over one shared vocabulary: all words of the corpus, the end of
+word bigram models of one form, smoothed by unigrams (Dirichlet priors), over one shared vocabulary: all words of the corpus, the end of
 a text, and one more for words that it lacks. In any context the probabilities of these sum to one. Words and bigrams are counted exactly, by 64-bit ids, in tables that grow with
-the corpus. Per document: the loss per token under either model (its words and its end), and target loss minus background loss (low: like the target).
+the corpus. The models are matched in mass too: the counts of the background, which covers all documents, are scaled to the number of the target's
+tokens, so that rare words cost as much under either. Per document: the loss per token under either model (its words and its end), and target loss minus background loss (low: like the target).
 
 Documents are taken in chunks of about CHUNK words. A chunk sends its distinct words and bigrams with their counts to
 slots by id, a slot adds up what all chunks sent and replies in the order of each message, and a chunk is scored
@@ -29,7 +30,7 @@ from tideline.llm.common import packed, released, sized, text_of, unpacked, work
 
 CHUNK = 1_000_000
 SLOTS, SLOT_BYTES = 256, 8_000_000  # at least so many slots, and one for so many bytes of text
-BIGRAM_SHARE = 0.6  # weight of the bigram estimate where its context was seen
+CONTEXT_MASS = 5.0  # tokens of a context that the unigram estimate counts for
 SMOOTHING = 0.5
 END = np.uint64(1)  # id of the end of a text
 _SENT = "chunk long, slot int, sent binary"
@@ -105,12 +106,10 @@ class Chunk:
             out.append(tuple(both))
         return out
 
-    def losses(self, single: np.ndarray, double: np.ndarray, total: int, kinds: int) -> np.ndarray:
-        """Sums of -ln P of the words of each document that has any, each given the one before it."""
-        alone = (single + SMOOTHING) / (total + SMOOTHING * kinds)
-        p = alone[self.second]
-        seen = single[self.first] > 0
-        p[seen] = BIGRAM_SHARE * double[seen] / single[self.first[seen]] + (1 - BIGRAM_SHARE) * p[seen]
+    def losses(self, single: np.ndarray, double: np.ndarray, total: int, kinds: int, scale: float = 1.0) -> np.ndarray:
+        """Sums of -ln P of the tokens of each document that has any, each given the one before it; all counts are taken times `scale`."""
+        alone = (scale * single + SMOOTHING) / (scale * total + SMOOTHING * kinds)
+        p = (scale * double + CONTEXT_MASS * alone[self.second]) / (scale * single[self.first] + CONTEXT_MASS)
         each = -np.log(alone)[self.places]
         each[self.follows] = -np.log(p)[self.pair]
         return np.add.reduceat(each, self.starts) if len(self.starts) else np.zeros(0)
@@ -209,9 +208,9 @@ def score(docs: DataFrame, labels: DataFrame, hold_out: bool = True) -> DataFram
         ids, known, _, lengths, chunk = _opened(found[-1], slots)
         every, marked = chunk.counts([unpacked(found[s], np.int64, np.int64) for s in range(slots)])
         there, columns = lengths > 0, []
-        for counts, size in ((marked, target), (every, total)):
+        for counts, size, scale in ((marked, target, 1.0), (every, total, target / total if target else 1.0)):
             loss = np.zeros(len(lengths))
-            loss[there] = chunk.losses(*counts, size, kinds + 1) / lengths[there]
+            loss[there] = chunk.losses(*counts, size, kinds + 1, scale) / lengths[there]
             columns.append(pa.array(loss, mask=~there))
         return pa.table({"doc_id": pa.array(ids, mask=~known), "n_tokens": pa.array(lengths - there), "target_loss": columns[0], "background_loss": columns[1]})
 
