@@ -32,12 +32,16 @@ WINDOW = 1 << 18  # code points that are hashed at a time
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-def ngrams(text: str) -> np.ndarray:
-    """The distinct hash buckets of all n-grams of the text in lower case, with a space at either end. Long texts are read in overlapping windows."""
+def windows(text: str) -> Iterator[np.ndarray]:
+    """The hash buckets of all n-grams of the text in lower case, with a space at either end; of a long text in overlapping windows."""
     whole, more = f" {text.lower()} ", max(SIZES) - 1
-    if len(whole) <= WINDOW + more:
-        return np.unique(_ngrams(whole))
-    return np.unique(np.concatenate([np.unique(_ngrams(whole[k : k + WINDOW + more])) for k in range(0, len(whole), WINDOW)]))
+    for k in range(0, max(1, len(whole) - more), WINDOW):
+        yield _ngrams(whole[k : k + WINDOW + more])
+
+
+def ngrams(text: str) -> np.ndarray:
+    """The distinct buckets."""
+    return np.unique(np.concatenate([np.unique(w) for w in windows(text)]))
 
 
 def _ngrams(text: str) -> np.ndarray:
@@ -60,8 +64,8 @@ class Model:
     bias: float
 
     def features(self, text: str) -> np.ndarray:
-        found = self.place[ngrams(text)]
-        return np.unique(found[found >= 0])
+        found = (self.place[w] for w in windows(text))
+        return np.unique(np.concatenate([f[f >= 0] for f in found]))
 
     def score(self, text: str) -> float:
         x = self.bias + float(self.weights[self.features(text)].sum())
