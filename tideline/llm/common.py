@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -51,9 +52,14 @@ def removed(spark: SparkSession, path: str) -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Frees the shuffle files of stages whose results are written: Spark deletes them once the driver has dropped its last reference."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Frees the shuffle files of stages whose results are written: Spark deletes them once the driver has dropped its last reference.
+
+    What Python lets go of reaches the JVM with a later call, and Spark's cleaner works beside, so that one call could come too early.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def _bytes_of(column: Column, kind: T.DataType) -> Column:
