@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +186,54 @@ def test_components(spark, monkeypatch, most):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 200: 100, 300: 100}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def most_stacked(plan):
+    """The most Python functions that one task of a physical plan passes."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return most_stacked(plan.initialPlan())
+    children = [plan.children().apply(k) for k in range(plan.children().size())]
+    here = max((0 if "Exchange" in c.nodeName() else most_stacked(c) for c in children), default=0)
+    return here + (plan.nodeName().endswith(("InArrow", "InPandas")))
+
+
+def stages(plan):
+    """The roots of a physical plan's stages."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.initialPlan()
+    yield plan
+    for k in range(plan.children().size()):
+        yield from stages(plan.children().apply(k))
+
+
+def test_a_task_takes_one_python_worker(spark, sf, monkeypatch):
+    """Workers stay: where one task takes two, each core of an executor holds two from then on."""
+    stacked = []
+
+    def written(df, *path, put=ngram_join.written, **options):
+        stacked.append(max(map(most_stacked, stages(df._jdf.queryExecution().executedPlan()))))
+        return put(df, *path, **options)
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 100")
+    assert ngram_join.representatives(docs, 5, 80).count() > 0
+    assert max(stacked) == 1
+
+
+def test_a_worker_keeps_nothing_of_its_task(monkeypatch):
+    """Words are forgotten when a task ends, and a task remembers no more than it may; sets don't depend on it."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(50)) for _ in range(40)]
+    sets = [ngram_join.shingle_set(t.encode(), 4) for t in texts]
+    names = [ngram_join.class_of(s) for s in sets]
+    monkeypatch.setattr(ngram_join, "MOST_WORDS", 100)
+    rows = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(names)], names=["text", "cls"])
+    got = [x for b in ngram_join._sets(iter([rows]), 4) for x in b.column("shingles").to_pylist()]
+    assert got == [s.tobytes() for s in sets] and not ngram_join._words
+    monkeypatch.setattr(ngram_join, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 3)}))
+    ids = pa.array(range(40), pa.int64())
+    sent = list(ngram_join._chunked(iter([pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["doc_id", "key", "text"])]), 4, 64, 500))
+    assert len(sent) > 2 and not ngram_join._words
+    list(map(ngram_join._words.__getitem__, (b"%d" % k for k in range(250))))
+    assert len(ngram_join._words) <= 100
+    ngram_join._words.clear()

@@ -37,6 +37,7 @@ of a component unless all its ids are null; an empty table gives an empty result
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb, isqrt
@@ -54,6 +55,7 @@ from tideline.llm.components import STARS, components, forest, stars
 
 MOST_MEMBERS, MOST_SHINGLES = 512, 500_000
 MOST_LIGHT = 64
+MOST_WORDS = 100_000  # whose hashes a task remembers, at some 500 bytes each
 LEADERS = 4
 CHUNK, SLOT_BYTES, SLOTS = 1_000_000, 4_000_000, 64
 GROWS_FROM = 1 << 40  # bytes of text from which chunks and slots grow, by its root and up to 16 times
@@ -72,7 +74,7 @@ class _Words(dict):
     """Hashes of words; forgets all when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= MOST_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -81,6 +83,14 @@ class _Words(dict):
 _words = _Words()
 
 
+def _let_go() -> None:
+    """Gives back what a task no longer needs: its worker stays, idle beside the busy ones, for as long as Spark has tasks."""
+    _words.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what many small arrays leave
+        trim(0)
+
+
 def shingle_set(text: bytes, size: int) -> np.ndarray:
     """Ascending distinct 64-bit hashes of the shingles of a UTF-8 text: A-Z in lower case, words apart by ASCII white space."""
     words = text.lower().split()
@@ -214,6 +224,8 @@ def _chunked(batches: Iterator[pa.RecordBatch], size: int, slots: int, words: in
                 chunk, name = _Chunk(), name + 1
     if chunk.ids:
         yield chunk.rows(name, slots)
+    del chunk
+    _let_go()
 
 
 def _answers(table: pa.Table) -> pa.Table:
@@ -387,6 +399,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             sets = pa.array(found, pa.binary())
             names = [*whole.schema.names[1:], "shingles"]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], sets], names=names).filter(sets.is_valid())
+    _let_go()
 
 
 def _measured(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -496,8 +509,9 @@ def _candidates(texts: DataFrame, size: int, percent: int, at: str, kept: str) -
         per[r.n][1:] = r.entries, r.scanned
     most = boundary({n: tuple(c) for n, c in per.items()}, percent)
     entries = listed.where(F.col("n") >= least_overlap(most + 1, percent)).select("list", "cls")
-    entries = entries.unionByName(chunks.mapInArrow(lambda b: _light(b, percent, most), "list long, cls long"))
-    reduced = written(entries.mapInArrow(_reduced, _REDUCED), f"{at}/reduced")
+    # each task passes one Python function: a second one on top would take a second worker, and Spark keeps both
+    light = chunks.mapInArrow(lambda b: _reduced(_light(b, percent, most)), _REDUCED)
+    reduced = written(entries.mapInArrow(_reduced, _REDUCED).unionByName(light), f"{at}/reduced")
     removed(spark, f"{at}/answers")
     removed(spark, f"{at}/listed")
     lists = reduced.where("list is not null").select("list", F.col("u").alias("cls")).repartition("list").mapInArrow(_met, STARS)
